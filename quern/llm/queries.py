@@ -74,11 +74,11 @@ select page_id, payload_bytes, h.payload_digest, case when first is null or firs
 from hashed h left join firsts f on h.payload_digest = f.payload_digest and payload_bytes >= 100""",
     "op10_minhash_near_dedup": """
 with recursive words as (
-  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
   from documents),
 shingles as (
   select distinct doc_id, s from (
-    select doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end) as s from words)),
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from words)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 held as (select s, doc_id, n from shingles join sizes using (doc_id)),
 pairs as (
