@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, linededup, neardup
+from quern.llm import decontam, linededup, neardup, packing, toxicity
 from quern.llm.common import cut, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_line_documents(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.without_near_duplicates(docs)
 
 
@@ -24,7 +28,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.decontaminate_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
 #: Toxicity scores, MinHash bands and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
