@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quern.functions.proportion import chi2_p, median_of, wilson
 from quern.functions.rng import DEFAULT_SEED, Mulberry
@@ -67,7 +68,7 @@ def pair_statistics(cells: DataFrame) -> DataFrame:
     return s.select(*keys, F.col("t").alias("n"), "rows", "cols", "chi2", "df", "v", "v_corrected", "bits", "uncertainty", "a_tells_b", "b_tells_a", "least_expected", "definitional")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_p(float(s), int(d)) if s == s and d else 1.0 for s, d in zip(statistic, df, strict=True)])
 
