@@ -86,8 +86,9 @@ def _operator(op: str, column: Column, operand: Any, refs: dict[str, Column], ar
         case "any_matches":
             return F.coalesce(F.exists(column, lambda v: v.rlike(pattern_of(operand))), false)
         case "followed_by":
-            pairs = F.arrays_zip(F.slice(column, 1, F.greatest(F.size(column) - 1, F.lit(0))).alias("x"), F.slice(column, 2, F.greatest(F.size(column), F.lit(1))).alias("y"))
-            return F.coalesce(F.exists(pairs, lambda p: (p[0] == operand[0]) & (p[1] == operand[1])), false)
+            places = F.sequence(F.lit(1), F.size(column) - 1)
+            follows = F.exists(places, lambda i: (F.get(column, i - 1) == operand[0]) & (F.get(column, i) == operand[1]))
+            return F.coalesce(F.when(F.size(column) > 1, follows), false)
         case "shares_token":
             text = F.array_join(column, " ") if array else column.cast("string")
             return F.coalesce(F.arrays_overlap(token_array(text), token_array(other)), false)

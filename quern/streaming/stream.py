@@ -41,7 +41,9 @@ def run_stream(events: DataFrame, handler: Handler) -> DataFrame:
     out = _schema(handler, events)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else Machine(handler)
+        machine = Machine(handler)
+        if state.exists:
+            machine.restore(pickle.loads(state.get[0]))
         rows, ended = [], False
         for e in _events(pd.concat(list(frames))):
             rows += machine.accept(e)
@@ -49,7 +51,7 @@ def run_stream(events: DataFrame, handler: Handler) -> DataFrame:
         if ended:
             state.remove()
         else:
-            state.update((pickle.dumps(machine),))
+            state.update((pickle.dumps(machine.state()),))
         yield pd.DataFrame(rows, columns=["session_id", "agent_id", "seq", *handler.emit])
 
     return events.groupBy(*STREAM).applyInPandasWithState(step, out, "machine binary", "append", GroupStateTimeout.NoTimeout)
