@@ -8,6 +8,7 @@ running counts. Only a test that refers to its trigger needs a range join, and t
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -113,6 +114,13 @@ def run(events: DataFrame, handler: Handler) -> DataFrame:
     """The rows a handler emits: session_id, agent_id, seq of the trigger, and a text per emitted field."""
     if handler.each and "table" in handler.each:
         raise HandlerError("tables in texts are read by the machine: use run_machines")
+    if handler.scope == "session":
+        # a session is one stream in the order of offers; its events keep their own stream and place beside it
+        whole = events.withColumns({"own_agent": F.col("agent_id"), "own_seq": F.col("seq"), "agent_id": F.lit("*"), "seq": F.col("offer"), "call": F.lit(0).cast("long")})
+        rows = run(whole, replace(handler, scope="stream"))
+        places = whole.select("session_id", F.col("seq").alias("__offer"), "own_agent", "own_seq")
+        found = rows.withColumnRenamed("seq", "__offer").drop("agent_id").join(places, ["session_id", "__offer"])
+        return found.select("session_id", F.col("own_agent").alias("agent_id"), F.col("own_seq").alias("seq"), *handler.emit)
     order = W.partitionBy(*STREAM).orderBy("seq")
     past, future = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     df = events
@@ -142,6 +150,8 @@ def run(events: DataFrame, handler: Handler) -> DataFrame:
         if handler.each.get("matches"):
             rows = rows.filter(F.col("__item").rlike(pattern_of(handler.each["matches"])))
     refs = _references(handler, rows)
+    if handler.saw:
+        rows = _seen(rows, events, handler, refs)
     if not window:
         return _emit(rows, handler, refs | {"count": F.lit(0)})
     rows = _close(rows, df, window)
@@ -150,6 +160,16 @@ def run(events: DataFrame, handler: Handler) -> DataFrame:
     return _emit_joined(rows, events, handler, refs)
 
 
+def _seen(rows: DataFrame, events: DataFrame, handler: Handler, refs: dict[str, Column]) -> DataFrame:
+    """The triggers before which an event of the stream passes ``saw``'s test. The stream is the join's key."""
+    earlier = events.filter(F.col("kind") == handler.saw["on"]).select(*(F.col(c).alias(f"w_{c}") for c in events.columns))
+    joint = [*rows.columns, *earlier.columns]
+    pair = rows.limit(0).join(earlier.limit(0), F.lit(True)).select(*joint)
+    test = condition(handler.saw.get("where"), pair, refs, "w_")
+    before = (F.col("session_id") == F.col("w_session_id")) & (F.col("agent_id") == F.col("w_agent_id")) & (F.col("w_seq") < F.col("seq"))
+    return rows.join(earlier, before & test, "left_semi")
+
+
 def _references(handler: Handler, rows: DataFrame) -> dict[str, Column]:
     refs = {c: F.col(c) for c in rows.columns if not c.startswith("__")} | {n: F.col(f"__capture_{n}") for n in handler.captures}
     if handler.each:

@@ -13,9 +13,9 @@ from quern.streaming.batch import STREAM
 from quern.streaming.handlers import Handler, Machine
 
 
-def _events(frame: pd.DataFrame) -> list[dict]:
+def _events(frame: pd.DataFrame, order: str = "seq") -> list[dict]:
     rows = []
-    for row in frame.sort_values("seq", kind="stable").to_dict("records"):
+    for row in frame.sort_values(order, kind="stable").to_dict("records"):
         rows.append({k: (v.tolist() if hasattr(v, "tolist") else v) for k, v in row.items() if not (v is None or (isinstance(v, float) and v != v))})
     return rows
 
@@ -28,11 +28,13 @@ def _schema(handler: Handler, df: DataFrame) -> str:
 def run_machines(events: DataFrame, handler: Handler) -> DataFrame:
     """Batch: one machine per stream. For programs that only the machine can run."""
 
+    keys, order = (["session_id"], "offer") if handler.scope == "session" else (STREAM, "seq")
+
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         machine = Machine(handler)
-        return pd.DataFrame([r for e in _events(frame) for r in machine.accept(e)], columns=["session_id", "agent_id", "seq", *handler.emit])
+        return pd.DataFrame([r for e in _events(frame, order) for r in machine.accept(e)], columns=["session_id", "agent_id", "seq", *handler.emit])
 
-    return events.groupBy(*STREAM).applyInPandas(one, _schema(handler, events))
+    return events.groupBy(*keys).applyInPandas(one, _schema(handler, events))
 
 
 def run_stream(events: DataFrame, handler: Handler) -> DataFrame:

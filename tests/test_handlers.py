@@ -72,6 +72,29 @@ def test_plan_equals_machine(spark, streams, k):
     assert sorted(found, key=str) == sorted(want, key=str)
 
 
+SESSION_PROGRAMS = [
+    {"on": "check.run", "scope": "session", "saw": {"on": "file.changed", "where": {"path": {"eq": "$path"}}}, "emit": {"p": "${path}"}},
+    {"on": "file.changed", "scope": "session", "window": {"until": "prompt.submit", "absent": {"on": "check.run"}}, "emit": {"p": "${path}"}},
+    {"on": "file.read", "scope": "session", "window": {"until": "prompt.submit", "first": {"on": "file.changed", "where": {"path": {"eq": "$path"}}}}, "emit": {"n": "${match.n}"}},
+]
+
+
+@pytest.mark.parametrize("k", range(len(SESSION_PROGRAMS)))
+def test_sessions_interleave_their_agents(spark, k):
+    rng, rows = random.Random(3), []
+    for name in range(30):
+        parts = [[(f"s{name}", agent, *r[2:]) for r in stream_of(rng, "x") if r[4] != "session.end"] for agent in ("main", "sub")]
+        offer = 0
+        while any(parts):
+            part = rng.choice([p for p in parts if p])
+            rows.append((*part.pop(0), offer))
+            offer += 1
+    handler = parse(SESSION_PROGRAMS[k])
+    events = spark.createDataFrame(rows, SCHEMA + ", offer long")
+    found, want = run(events, handler).collect(), run_machines(events, handler).collect()
+    assert len(want) > 5 and sorted(map(tuple, found), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_machines_over_groups_and_counts(spark, streams):
     handler, events = parse(PROGRAMS[2]), spark.createDataFrame(streams, SCHEMA)
     assert run_machines(events, handler).count() == len(expected(streams, handler))
