@@ -212,6 +212,56 @@ def cluster_vectors(ids: list, weights, threshold: float, linkage: str) -> tuple
     return cut_tree(agglomerate(distance, linkage), len(ids), threshold), distance
 
 
+def vectors_of(token_lists: list[list[str]]) -> np.ndarray:
+    """Distances of documents given as tokens, by the same weights as ``tfidf``."""
+    terms: dict[str, int] = {}
+    counts = [{} for _ in token_lists]
+    for row, found in zip(counts, token_lists, strict=True):
+        for t in found:
+            j = terms.setdefault(t, len(terms))
+            row[j] = row.get(j, 0) + 1
+    m = np.zeros((len(token_lists), max(1, len(terms))))
+    for i, row in enumerate(counts):
+        m[i, list(row)] = 1 + np.log(list(row.values()))
+    df = (m > 0).sum(0)
+    m *= np.log(len(token_lists) / np.maximum(df, 1))
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    m = m / np.where(norm > 0, norm, 1)
+    distance = np.clip(1 - m @ m.T, 0, None)
+    np.fill_diagonal(distance, 0)
+    return distance
+
+
+def clustering_null(docs: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.8, linkage: str = "average", iterations: int = 199, seed: str = DEFAULT_SEED, most: int = MOST_CLUSTERED) -> DataFrame:
+    """(iteration, clusters, share): how much clusters when the same tokens are dealt at random into documents of the same lengths.
+
+    Each iteration shuffles a fresh pool from its own place in the generator's sequence, so iterations run side by side.
+    """
+    if docs.count() > most:
+        raise ValueError(f"clustering holds every distance at once: {most} documents at most")
+    lists = [r["t"] for r in docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t")).orderBy("id").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(lists)
+    step = max(0, sum(map(len, lists)) - 1)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for k in batch["id"]:
+                pool = [t for found in shared.value for t in found]
+                Mulberry(seed, skip=int(k) * step).shuffle(pool)
+                dealt, at = [], 0
+                for found in shared.value:
+                    dealt.append(pool[at : at + len(found)])
+                    at += len(found)
+                _, clusters, share = sweep_threshold(vectors_of(dealt), [threshold], linkage)[0]
+                rows.append((k, clusters, share))
+            yield pd.DataFrame(rows, columns=["iteration", "clusters", "share"])
+
+    return docs.sparkSession.range(0, iterations, 1, min(iterations, 64)).mapInPandas(run, "iteration long, clusters long, share double")
+
+
 def sweep_threshold(distance: np.ndarray, thresholds: list[float], linkage: str = "average") -> list[tuple[float, int, float]]:
     """(threshold, clusters of two or more, share of documents in them), cutting one tree again."""
     merges, n = agglomerate(distance, linkage), len(distance)

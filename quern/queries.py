@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import rng
 from quern.functions.proportion import design_effect, median_of, wilson
-from quern.operators import annotate, association, explore, sampling, search, series, terms
+from quern.operators import annotate, association, doctor, explore, sampling, search, series, terms
 from quern.operators import union as unions
-from quern.plans.entries import View, adapt, select_states, signatures
+from quern.plans.entries import View, adapt, select_states, signatures, validate
 from quern.plans.spec import Property, TypeSpec, type_hash
+from quern.sources import records
 from quern.streaming import batch, handlers, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,6 +497,72 @@ def u1_union_projects(spark: SparkSession, d: str) -> DataFrame:
     return unions.union_entries(projects, type_hash(spec)).drop("type_hash")
 
 
+@query()
+def t18_clustering_null(spark: SparkSession, d: str) -> DataFrame:
+    return terms.clustering_null(table(spark, d, "benchmark"), "item_id", threshold=0.9, iterations=40)
+
+
+EVENT_SPEC = TypeSpec("event", (Property("k", "integer", True), Property("kind", "enum", enum_values=("view", "click", "purchase")), Property("value", "duration")))
+
+
+@query("""
+with e as (select event_id as id, event_type not in ('view', 'click', 'purchase') as bad_kind, value < 0 as bad_value, event_id % 5 = 0 as no_k from events)
+select id, cast(bad_kind as int) + cast(coalesce(bad_value, false) as int) + cast(no_k as int) as errors, 0 as warnings from e""")
+def p15_validate(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    k = F.when(F.col("event_id") % 5 != 0, F.get_json_object("props", "$.k").cast("long"))
+    rows = events.select(F.col("event_id").alias("id"), F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("kind"), "value")).alias("properties_json"), F.lit("[]").alias("na_json"))
+    return validate(rows, EVENT_SPEC).select("id", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"))
+
+
+@query("select text, count(*) as n from documents where text is not null group by text having count(*) > 1")
+def u4_repeated_records(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "documents").select(F.col("text").alias("id"), "doc_id").filter("id is not null")
+    return unions.collapse_exact(both)[1].withColumnRenamed("id", "text")
+
+
+@query("select doc_id as id from documents where doc_id not in (select doc_id from labels)")
+def s21_lost_ids(spark: SparkSession, d: str) -> DataFrame:
+    return unions.lost_ids(documents(spark, d), table(spark, d, "labels").withColumnRenamed("doc_id", "id"))
+
+
+@query("select 'entry' as kind, cast(event_id as varchar) as id, event_type as event_type, user_id from events")
+def s9_s15_lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), "event_type", "user_id")
+    back = F.from_json("line", "event_type string, user_id long")
+    return records.to_lines(events).withColumn("b", back).select("kind", "id", "b.event_type", "b.user_id")
+
+
+@query("select doc_id as id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')[1] as first, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as n from documents")
+def t25_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    t = search.tokens(F.col("text"))
+    return documents(spark, d).select("id", F.get(t, 0).alias("first"), F.size(t).cast("long").alias("n"))
+
+
+@query(LABELS + ", a as (select 'quality' as scheme, 1 as scheme_version, t as created_at from ann) select scheme, scheme_version, created_at, count(*) as n from a group by all")
+def a12_annotation_passes(spark: SparkSession, d: str) -> DataFrame:
+    made = label_annotations(spark, d).select(F.lit("quality").alias("scheme"), F.lit(1).alias("scheme_version"), F.col("at").alias("created_at"))
+    return annotate.passes(made)
+
+
+@query("select cast(doc_id as varchar)[1:1] as version, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic = 1) group by 1")
+def a13_open_by_version(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).withColumn("id", F.col("id").cast("string"))
+    gone = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("entry_id"))
+    return doctor.open_by_version(docs, gone, 1, 1)
+
+
+@query("select 'lang' as identity, lang as value, count(distinct doc_id) as lines from documents group by lang union all select 'source', source, count(distinct doc_id) from documents group by source")
+def a17_identity_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return doctor.identity_vocabulary(table(spark, d, "documents").withColumnRenamed("doc_id", "line"), ["lang", "source"])
+
+
+@query("select event_type as type_name, user_id % 3 as type_version, count(*) as n, strftime(min(ts), '%Y-%m-%d') as first, strftime(max(ts), '%Y-%m-%d') as last from events group by all")
+def n12_version_drift(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("event_type").alias("type_name"), (F.col("user_id") % 3).alias("type_version"), F.date_format("ts", "yyyy-MM-dd").alias("recorded_at"))
+    return doctor.version_drift(events)
+
+
 # Streams of the events table: one per user, every event a call, errors as ends of a unit.
 
 
@@ -541,6 +608,12 @@ def j13_handler_count_larger(spark: SparkSession, d: str) -> DataFrame:
     return emit(spark, d, {"on": "purchase", "window": {"until": "signup", "count": {"any": watchers, "at_least": 1}}, "emit": {"purchase": "${id}", "larger": "${count}"}})
 
 
+@query(STREAM_SQL + " select t.session_id, t.agent_id, t.seq, t.id as purchase from s t where t.kind = 'purchase' and exists (select 1 from s b where b.session_id = t.session_id and b.kind = 'view' and b.seq < t.seq and b.value > t.value)")
+def j15_handler_saw(spark: SparkSession, d: str) -> DataFrame:
+    program = {"on": "purchase", "scope": "session", "saw": {"on": "view", "where": {"value": {"gt": "$value"}}}, "emit": {"purchase": "${id}"}}
+    return batch.run(user_stream(spark, d).withColumn("offer", F.col("seq")), handlers.parse(program))
+
+
 @query(STREAM_SQL + " select session_id, agent_id, count(*) filter (where kind = 'view') as triggers, count(*) filter (where kind = 'view' and value > 0) as rows from s group by all")
 def a18_replay_units(spark: SparkSession, d: str) -> DataFrame:
     found = stream.replay_counts(user_stream(spark, d), handlers.parse({"on": "view", "emit": {"id": "${id}"}}))
