@@ -7,12 +7,12 @@
    makes n - 1 edges and not n * n.
 4. Every edge is confirmed on the full sets; confirmed edges are joined into components by alternating large-star and
    small-star steps.
-5. A star can miss a link between two members that are both unlike its centre. Buckets whose members ended in different
+5. A star can miss a link between two members that are both unlike its centre. Stars whose members ended in different
    components are therefore compared again, in blocks of bounded size, and only across components: pairs that are
-   already connected cannot change the result. The signatures discard pairs far below the threshold, the others are
-   confirmed on the full sets.
+   already connected cannot change the result. The blocks hold the full sets and return only links that connect, so
+   their results never outgrow their members.
 
-With 40 bands of 5 rows a pair at similarity 0.8 shares a bucket with probability 1 - 1.3e-7.
+With 28 bands of 4 rows a pair at similarity 0.8 shares a bucket with probability 1 - 4e-7.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ from quern.llm.common import as_bytes, cut, remove, shared_path, slices
 
 WORDS = 5
 PERCENT = 80
-BANDS = 40
-ROWS = 5
-#: Members of one block of a bucket, and so at most twice as many sets in a confirming task's group.
+BANDS = 28
+ROWS = 4
+#: Members of one block of a star, and so at most twice as many sets in one group of a confirming task.
 BLOCK = 256
-#: Signature agreement below which a pair is not confirmed: 0.8 minus about five standard deviations at 200 bins.
-LEAST_AGREEMENT = 0.66
-#: Sets below this size are confirmed whatever their signatures, whose borrowed bins are no longer independent.
+#: Bins that estimate a similarity before the exact check, and the agreement below which it is not made: 0.8 minus over
+#: four standard deviations.
+ESTIMATE_BINS = 256
+LEAST_AGREEMENT = 0.68
+#: Sets below this size are checked whatever their bins, which are no longer independent once most are borrowed.
 SMALL_SET = 60
 #: Word hashes kept by one task.
 CACHE_WORDS = 200_000
@@ -126,31 +128,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys, agree): set size, a 128-bit digest of the set, band keys, one byte per bin."""
+    """(doc_id, n_shingles, s1, s2, keys): set size, a 128-bit digest of the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(words), Signer(bands, rows)
         for group in slices(batches):
-            ids, sizes, digests, keys, agree = [], [], [], [], []
+            ids, sizes, digests, keys = [], [], [], []
             for doc_id, text in group:
                 hashes = shingle(text)
                 ids.append(doc_id)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                if len(hashes):
-                    signature = sign.signature(hashes)
-                    keys.append(sign.band_keys(signature))
-                    agree.append(mix(signature * MIX).astype(np.uint8).tobytes())
-                else:
-                    keys.append(None)
-                    agree.append(None)
+                keys.append(sign.band_keys(sign.signature(hashes)) if len(hashes) else None)
             halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(agree, pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "keys", "agree"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "s1", "s2", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, agree binary")
+    return docs.select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -214,50 +210,54 @@ def connected(edges: DataFrame) -> DataFrame:
         remove(spark, old)
 
 
-def mixed_pairs(banded: DataFrame, labels: DataFrame, signatures: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(g1, g2, a, b): pairs that share a bucket, lie in different components and have signatures near enough.
+def missed_links(stars: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a star (a, b) that lie in different components.
 
-    A bucket is dealt into blocks by the hash of the id and each pair of blocks is one group, so that no task holds more than
-    two blocks. A pair is taken in the first band that both share only, so it comes once.
+    Of a star, the members of its largest component meet only the rest, and the rest meet each other; both in blocks by the
+    hash of the id, so that no group holds more than two blocks.
     """
-    named = banded.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).filter("least <> most")
-    blocks = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.join(signatures, "id")
-    # (i, j) with i <= j: a block goes to its own group and to each it forms with another
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("key").alias("g1"), (F.least("block", "other").cast("long") * (1 << 31) + F.greatest("block", "other")).alias("g2"), "id", "component", "band", "n_shingles", "agree", "block"
-    )
-
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
-        size, block = table["n_shingles"].to_numpy(), table["block"].to_numpy()
-        sign = np.frombuffer(b"".join(table["agree"].to_pylist()), np.uint8).reshape(len(ids), bands * rows)
-        band = int(table["band"][0].as_py())
-        within = key[1].as_py() >> 31 == key[1].as_py() & ((1 << 31) - 1)
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            js = np.arange(i + 1, len(ids))
-            js = js[component[js] != component[i]]
-            if not within:
-                js = js[block[js] != block[i]]
-            small, large = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
-            js = js[100 * small >= PERCENT_FLOOR * large]
-            if not len(js):
+    members = stars.select(F.col("a").alias("star"), F.col("b").alias("id")).union(stars.select("a", "a").distinct())
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("star", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("star").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = cut(mixed.select("star", F.col("largest.component").alias("main"), blocks(F.col("largest.n")).alias("mains"), blocks(F.col("all") - F.col("largest.n")).alias("rests")), "mixed-stars")
+    rows = named.join(mixed, "star").withColumn("is_main", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # group (i, j): rest block i with main block j, or with rest block j - mains
+    i, mains, rests = F.col("block"), F.col("mains"), F.col("rests")
+    with_rest = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: F.struct(k.alias("i"), i.alias("j")))
+    with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: F.struct(i.alias("i"), k.alias("j")))
+    among = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: F.struct(F.least(i, k).alias("i"), (mains + F.greatest(i, k)).alias("j")))
+    dealt = rows.select("star", "id", "component", F.inline(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_main, among))))
+    dealt = cut(dealt, "mixed-members")
+    loaded = dealt.join(sets_of(docs, dealt.select("id").distinct(), words), "id")
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        ids, component = table["id"].to_pylist(), table["component"].to_pylist()
+        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        sign, size = Signer(ESTIMATE_BINS, 1), np.array([len(x) for x in sets])
+        bins = np.array([sign.signature(x) for x in sets])
+        names = {c: k for k, c in enumerate(dict.fromkeys(component))}
+        # a component's label changes for all its members when it is linked
+        label = np.array([names[c] for c in component])
+        found = []
+        for x in range(len(ids) - 1):
+            others = np.arange(x + 1, len(ids))
+            small, large = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+            others = others[(label[others] != label[x]) & (100 * small >= percent * large)]
+            if not len(others):
                 continue
-            equal = sign[js] == sign[i]
-            shared = equal.reshape(len(js), bands, rows).all(2)
-            first = shared.argmax(1) == band
-            near = (equal.mean(1) >= LEAST_AGREEMENT) | (np.minimum(size[js], size[i]) < SMALL_SET)
-            js = js[first & near]
-            left += [ids[i]] * len(js)
-            right += ids[js].tolist()
-        a, b = np.minimum(left, right).astype(np.int64) if left else np.empty(0, np.int64), np.maximum(left, right).astype(np.int64) if left else np.empty(0, np.int64)
-        n = len(a)
-        return pa.table({"g1": pa.array(np.full(n, key[0].as_py(), np.int64)), "g2": pa.array(np.full(n, key[1].as_py(), np.int64)), "a": pa.array(a), "b": pa.array(b)})
+            agree = (bins[others] == bins[x]).mean(1)
+            near = (agree >= LEAST_AGREEMENT) | (np.minimum(size[others], size[x]) < SMALL_SET)
+            for y in others[near][np.argsort(-agree[near], kind="stable")].tolist():
+                if label[y] != label[x] and similar(sets[x], sets[y], percent):
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("g1", "g2").applyInArrow(pairs, "g1 long, g2 long, a long, b long")
+    return loaded.groupBy("star", "i", "j").applyInArrow(link, "a long, b long")
 
 
 #: No pair under this ratio of set sizes can reach the lowest similarity the operator is used with.
@@ -278,20 +278,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         docs = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).union(docs.filter("doc_id is null"))
     table = cut(signed(docs, words, bands, rows), "signatures")
     usable = table.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    heads = usable.join(classes, ["s1", "s2"]).filter("doc_id = id").select("id", "n_shingles", "keys", "agree")
-    banded = cut(heads.select("id", F.posexplode("keys").alias("band", "key")).filter("key is not null"), "bands")
-    stars = star_edges(banded.select("key", "id"))
+    classes = cut(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
+    heads = cut(usable.join(classes.select("id"), usable["doc_id"] == classes["id"], "left_semi").select(F.col("doc_id").alias("id"), "keys"), "heads")
+    stars = star_edges(heads.select("id", F.explode("keys").alias("key")))
     # a centre's edges are dealt into groups of about a block
+    stars = cut(stars, "stars")
     groups = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
-    grouped = cut(stars.join(groups, "a").select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), "groups").alias("g2"), "a", "b"), "stars")
-    links = cut(confirm(grouped, docs, words, percent), "links")
+    grouped = stars.join(groups, "a").select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), "groups").alias("g2"), "a", "b")
+    links = cut(confirm(cut(grouped, "grouped-stars"), docs, words, percent), "links")
     labels = cut(connected(links), "components")
-    rest = cut(mixed_pairs(banded, labels, heads.select("id", "n_shingles", "agree"), bands, rows), "pairs")
-    if rest.head(1):
-        more = cut(confirm(rest, docs, words, percent), "links")
-        if more.head(1):
-            labels = cut(connected(links.union(more)), "components")
+    more = cut(missed_links(stars, labels, docs, words, percent), "missed-links")
+    if more.head(1):
+        labels = cut(connected(links.union(more)), "components")
     named = classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     with_set = table.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
