@@ -270,7 +270,7 @@ with s as (select o_orderpriority as series, strftime(o_orderdate, '%Y-%m') as l
 net as (select a.series, a.label, sum(sign(a.value - b.value)) as net, count(*) as n from s a join s b on a.series = b.series group by all),
 u as (select series, label, n, sum(net) over (partition by series order by label) as u, row_number() over (partition by series order by label) as i from net),
 best as (select series, n, label, abs(u) as k, row_number() over (partition by series order by abs(u) desc, i) as r from u where i < n)
-select series, n, label as at, k as statistic, round(least(1, 2 * exp(-6.0 * k * k / (n::double * n * n + n * n))), 6) as p from best where r = 1""")
+select series, n, label as at, k::double as statistic, round(least(1, 2 * exp(-6.0 * k * k / (n::double * n * n + n * n))), 6) as p from best where r = 1""")
 def t12_pettitt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.change_points(priority_series(spark, d)).drop("p_adjusted"), "p")
 
