@@ -39,6 +39,8 @@ PREFIXES = (4, 5, 6)
 L2 = 1e-3
 STEPS = 300
 CACHE_WORDS = 200_000
+#: Rows handled at a time, so that long texts are not all held twice.
+PART = 500
 THRESHOLD = 0.5
 
 
@@ -53,7 +55,7 @@ def features(docs: DataFrame, columns: list[str]) -> DataFrame:
     inner = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             bins, counts = [], []
             for text in batch["text"].to_pylist():
                 found = np.array([f for w in set(words_of(text)) for f in word_features(w)], np.int32)
@@ -199,7 +201,7 @@ def predict(docs: DataFrame, models: list[Model], names: list[str], columns: lis
                 out.append(float(sigmoid(np.float64(margin))))
             return out
 
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             scores = [one(t) for t in batch["__text"].to_pylist()]
             columns_out = list(zip(*scores, strict=True)) if scores else [[] for _ in tables]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.float64()) for c in columns_out)], [*batch.schema.names[:-1], *(f"p_{n}" for n in names)])
