@@ -10,7 +10,7 @@
 5. A star can miss a link between two members that are both unlike its centre. Stars whose members ended in different
    components are therefore compared again, in blocks of bounded size, and only across components: pairs that are
    already connected cannot change the result. The blocks hold the full sets and return only links that connect, so
-   their results never outgrow their members.
+   their results never outgrow their members. Bins decide which members can have a partner at all and bring their sets.
 
 With 28 bands of 4 rows a pair at similarity 0.8 shares a bucket with probability 1 - 4e-7.
 """
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, cut, remove, shared_path, slices
+from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, slices
 
 WORDS = 5
 PERCENT = 80
@@ -33,10 +33,8 @@ BANDS = 28
 ROWS = 4
 #: Members of one block of a star, and so at most twice as many sets in one group of a confirming task.
 BLOCK = 256
-#: Bins that estimate a similarity before the exact check, and the agreement below which it is not made: 0.8 minus over
-#: four standard deviations.
-ESTIMATE_BINS = 256
-LEAST_AGREEMENT = 0.68
+#: Agreement of two documents' bins below which their sets are not compared: 0.8 minus five standard deviations at 112 bins.
+LEAST_AGREEMENT = 0.6
 #: Sets below this size are checked whatever their bins, which are no longer independent once most are borrowed.
 SMALL_SET = 60
 #: Word hashes kept by one task.
@@ -128,25 +126,27 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys): set size, a 128-bit digest of the set, band keys."""
+    """(doc_id, n_shingles, s1, s2, keys, bins): set size, a 128-bit digest of the set, band keys, a byte of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(words), Signer(bands, rows)
         for group in slices(batches):
-            ids, sizes, digests, keys = [], [], [], []
+            ids, sizes, digests, keys, bins = [], [], [], [], []
             for doc_id, text in group:
                 hashes = shingle(text)
                 ids.append(doc_id)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                keys.append(sign.band_keys(sign.signature(hashes)) if len(hashes) else None)
+                signature = sign.signature(hashes) if len(hashes) else None
+                keys.append(None if signature is None else sign.band_keys(signature))
+                bins.append(None if signature is None else mix(signature * MIX).astype(np.uint8).tobytes())
             halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "s1", "s2", "keys"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
+                ["doc_id", "n_shingles", "s1", "s2", "keys", "bins"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, bins binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -181,9 +181,54 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 
 def star_edges(banded: DataFrame) -> DataFrame:
-    """From (key, id) the distinct edges (a, b), a the smallest id of a bucket, b another member."""
-    centres = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a <> most").select("key", "a")
-    return banded.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    """From (key, id) the distinct edges (a, b), a the smallest id of a bucket, b another member.
+
+    Buckets lie sorted over ranges of (key, id): one shuffle, and a bucket of any size is read as a stream by as many tasks as it
+    fills. A bucket that goes over a range's end has a centre in each; these few are then replaced by the first.
+    """
+    spark = banded.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_key = last_key = centre = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids = batch["key"].to_numpy(), batch["id"].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+            heads = ids[starts]
+            if last_key is not None and key[0] == last_key:
+                heads = np.concatenate(([centre], heads[1:]))
+            first_key = key[0] if first_key is None else first_key
+            a = np.repeat(heads, np.diff(np.concatenate((starts, [len(key)]))))
+            # a centre's own row names the bucket's centre in this range, which matters at the range's ends
+            keep = a != ids
+            keep |= (key == first_key) | (key == key[-1])
+            last_key, centre = key[-1], heads[-1]
+            border = (key == first_key) | (key == last_key)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(ids[keep]), pa.array(key[keep], mask=~border[keep])], ["a", "b", "border"])
+
+    dealt = banded.select("key", "id").repartitionByRange(partitions(spark), "key", "id").sortWithinPartitions("key", "id")
+    raw = cut(dealt.mapInArrow(run, "a long, b long, border long"), "raw-stars")
+    over = raw.filter("border is not null").groupBy("border").agg(F.min("a").alias("centre"), F.max("a").alias("other")).filter("centre <> other").select("border", "centre")
+    # a bucket with two centres goes over the end of a range: no more than there are ranges
+    fixed = raw.join(F.broadcast(over), "border", "left").select(F.coalesce("centre", "a").alias("a"), "b")
+    return fixed.filter("a <> b").distinct()
+
+
+def near_edges(stars: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The edges whose ends may be similar, by sizes and bins."""
+    sides = [heads.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bins").alias(f"s{x}")) for x in "ab"]
+    both = stars.join(sides[0], "a").join(sides[1], "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            sa, sb = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint8).reshape(len(na), -1) for x in ("sa", "sb"))
+            small, large = np.minimum(na, nb), np.maximum(na, nb)
+            near = (100 * small >= percent * large) & (((sa == sb).mean(1) >= LEAST_AGREEMENT) | (small < SMALL_SET))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(near)), batch["b"].filter(pa.array(near))], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").filter("na is not null").mapInArrow(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -210,11 +255,12 @@ def connected(edges: DataFrame) -> DataFrame:
         remove(spark, old)
 
 
-def missed_links(stars: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def missed_links(stars: DataFrame, labels: DataFrame, heads: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members of a star (a, b) that lie in different components.
 
     Of a star, the members of its largest component meet only the rest, and the rest meet each other; both in blocks by the
-    hash of the id, so that no group holds more than two blocks.
+    hash of the id, so that no group holds more than two blocks. First the blocks hold bins and name the members that have a
+    possible partner in another component; then only those bring their full sets.
     """
     members = stars.select(F.col("a").alias("star"), F.col("b").alias("id")).union(stars.select("a", "a").distinct())
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -231,32 +277,45 @@ def missed_links(stars: DataFrame, labels: DataFrame, docs: DataFrame, words: in
     with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: F.struct(i.alias("i"), k.alias("j")))
     among = F.transform(F.sequence(F.lit(0), rests - 1), lambda k: F.struct(F.least(i, k).alias("i"), (mains + F.greatest(i, k)).alias("j")))
     dealt = rows.select("star", "id", "component", F.inline(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_main, among))))
-    dealt = cut(dealt, "mixed-members")
-    loaded = dealt.join(sets_of(docs, dealt.select("id").distinct(), words), "id")
+    dealt = dealt.join(heads.select("id", "n_shingles", "bins"), "id")
+
+    def candidates(x: int, label: np.ndarray, size: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components that may be similar to member x, and their agreement."""
+        others = np.arange(x + 1, len(size))
+        small, large = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+        others = others[(label[others] != label[x]) & (100 * small >= percent * large)]
+        agree = (bins[others] == bins[x]).mean(1) if len(others) else np.empty(0)
+        near = (agree >= LEAST_AGREEMENT) | (np.minimum(size[others], size[x]) < SMALL_SET)
+        return others[near], agree[near]
+
+    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = table["n_shingles"].to_numpy()
+        return np.unique(table["component"].to_numpy(), return_inverse=True)[1], size, np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(size), -1)
+
+    def possible(key: tuple, table: pa.Table) -> pa.Table:
+        label, size, bins = columns(table)
+        has = np.zeros(len(size), bool)
+        for x in range(len(size) - 1):
+            others, _ = candidates(x, label, size, bins)
+            has[others] = True
+            has[x] |= len(others) > 0
+        return table.filter(pa.array(has))
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
-        ids, component = table["id"].to_pylist(), table["component"].to_pylist()
-        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-        sign, size = Signer(ESTIMATE_BINS, 1), np.array([len(x) for x in sets])
-        bins = np.array([sign.signature(x) for x in sets])
-        names = {c: k for k, c in enumerate(dict.fromkeys(component))}
+        ids, sets, found = table["id"].to_pylist(), [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()], []
         # a component's label changes for all its members when it is linked
-        label = np.array([names[c] for c in component])
-        found = []
+        label, size, bins = columns(table)
         for x in range(len(ids) - 1):
-            others = np.arange(x + 1, len(ids))
-            small, large = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
-            others = others[(label[others] != label[x]) & (100 * small >= percent * large)]
-            if not len(others):
-                continue
-            agree = (bins[others] == bins[x]).mean(1)
-            near = (agree >= LEAST_AGREEMENT) | (np.minimum(size[others], size[x]) < SMALL_SET)
-            for y in others[near][np.argsort(-agree[near], kind="stable")].tolist():
+            others, agree = candidates(x, label, size, bins)
+            for y in others[np.argsort(-agree, kind="stable")].tolist():
                 if label[y] != label[x] and similar(sets[x], sets[y], percent):
                     found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                     label[label == label[y]] = label[x]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
+    schema = "star long, i int, j int, id long, component long, n_shingles long, bins binary"
+    left = cut(dealt.select("star", "i", "j", "id", "component", "n_shingles", "bins").groupBy("star", "i", "j").applyInArrow(possible, schema), "possible-links")
+    loaded = left.join(sets_of(docs, left.select("id").distinct(), words), "id")
     return loaded.groupBy("star", "i", "j").applyInArrow(link, "a long, b long")
 
 
@@ -279,15 +338,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     table = cut(signed(docs, words, bands, rows), "signatures")
     usable = table.filter("doc_id is not null and n_shingles > 0")
     classes = cut(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
-    heads = cut(usable.join(classes.select("id"), usable["doc_id"] == classes["id"], "left_semi").select(F.col("doc_id").alias("id"), "keys"), "heads")
-    stars = star_edges(heads.select("id", F.explode("keys").alias("key")))
+    heads = cut(usable.join(classes.select("id"), usable["doc_id"] == classes["id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "keys", "bins"), "heads")
+    stars = cut(star_edges(heads.select("id", F.explode("keys").alias("key"))), "stars")
+    near = cut(near_edges(stars, heads, percent), "near-stars")
     # a centre's edges are dealt into groups of about a block
-    stars = cut(stars, "stars")
-    groups = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
-    grouped = stars.join(groups, "a").select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), "groups").alias("g2"), "a", "b")
+    groups = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
+    grouped = near.join(groups, "a").select(F.col("a").alias("g1"), F.pmod(F.xxhash64("b"), "groups").alias("g2"), "a", "b")
     links = cut(confirm(cut(grouped, "grouped-stars"), docs, words, percent), "links")
     labels = cut(connected(links), "components")
-    more = cut(missed_links(stars, labels, docs, words, percent), "missed-links")
+    more = cut(missed_links(stars, labels, heads, docs, words, percent), "missed-links")
     if more.head(1):
         labels = cut(connected(links.union(more)), "components")
     named = classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
