@@ -31,6 +31,8 @@ LEAST_CHARS = 20
 LEAST_DOCS = 3
 BATCHES = 2
 FANOUT = 2
+#: The share of all occurrences, inverted, over which a line is handled where it lies; so many such lines exist at most.
+HOT_LINES = 5000
 HASH = ["h1", "h2"]
 
 
@@ -133,8 +135,12 @@ def doomed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     index = LineRuns(spark, fanout)
     for batch in range(batches):
         index.add(found.filter(F.col("batch") == batch).drop("batch"))
-    shared = index.merged().filter(F.col("n_docs") >= least_docs).select(*HASH, "last_doc")
-    lost = found.join(shared, HASH).filter("doc_id <> last_doc")
+    shared = cut(index.merged().filter(F.col("n_docs") >= least_docs).select(*HASH, "n_docs", "last_doc"), "shared-lines")
+    # At most HOT_LINES lines can each hold 1 / HOT_LINES of all occurrences: these meet theirs where they lie, so that
+    # no task gets all occurrences of a line; the rest meet by hash.
+    often = F.col("n_docs") > found.count() // HOT_LINES
+    hot, rest = F.broadcast(shared.filter(often)), shared.filter(~often)
+    lost = found.join(hot, HASH).unionByName(found.join(hot, HASH, "left_anti").join(rest, HASH), allowMissingColumns=True).filter("doc_id <> last_doc")
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*HASH)).alias("doomed"))
 
 
