@@ -157,7 +157,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for group in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.int64()), pa.array([shingle(t).tobytes() for _, t in group], pa.binary())], ["id", "hashes"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), as_bytes("text").alias("text")).join(ids, "id", "left_semi")
+    # written first, so that the join is planned by the ids' real size: texts move only where the ids are too many to be sent
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), as_bytes("text").alias("text")).join(cut(ids, "wanted"), "id", "left_semi")
     return wanted.mapInArrow(run, "id long, hashes binary")
 
 
