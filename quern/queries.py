@@ -430,6 +430,18 @@ def t21_distinctive_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.select("group", "term", "inside", "outside", F.round("log_odds", 5).alias("log_odds"), F.round("z", 5).alias("z"))
 
 
+@query(f"""
+with w as (select lang as g, {TOKENS} from documents), c as (select g, term, count(*) as n from w group by all), bg as (select term, sum(n) as corpus from c group by term having sum(n) >= 2),
+sz as (select g, sum(n) as size from c group by g), t as (select sum(n) as t, (select count(*) from bg)::double as a0 from c),
+cells as (select sz.g, bg.term, coalesce(c.n, 0) as inside, corpus - coalesce(c.n, 0) as outside, a0 * corpus / t as alpha, size, t, a0 from bg cross join sz cross join t left join c on c.g = sz.g and c.term = bg.term),
+xy as (select *, inside + alpha as x, outside + alpha as y from cells)
+select g as "group", term, cast(inside as bigint) as inside, cast(outside as bigint) as outside, round(ln(x / (size + a0 - x)) - ln(y / (t - size + a0 - y)), 5) as log_odds, round((ln(x / (size + a0 - x)) - ln(y / (t - size + a0 - y))) / sqrt(1 / x + 1 / y), 5) as z from xy""")
+def t21_distinctive_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """The default family: every term that occurs twice or more."""
+    found = terms.distinctive_terms(table(spark, d, "documents"), "lang")
+    return found.select("group", "term", "inside", "outside", F.round("log_odds", 5).alias("log_odds"), F.round("z", 5).alias("z"))
+
+
 TFIDF = f"""
 with w as (select item_id as id, {TOKENS} from benchmark), tf as (select id, term, count(*) as c from w group by all), df as (select term, count(*) as df from tf group by term), n as (select count(*)::double as n from benchmark),
 x as (select id, term, (1 + ln(c)) * ln(n / df) as w from tf join df using (term), n where df < n), nm as (select id, sqrt(sum(w * w)) as norm from x group by id), v as (select id, term, w / norm as weight from x join nm using (id))"""
