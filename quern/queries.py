@@ -213,7 +213,7 @@ def t10_rank_associations(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t7_permutation_control(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumn("weekday", series.weekday(F.col("ts"))).withColumn("large", (F.col("value") > 50).cast("string"))
-    return association.permutation_control(events, ["event_type", "weekday", "large"], ["event_id"], iterations=100, most_rows=2_000_000)
+    return association.permutation_control(events, ["event_type", "weekday", "large"], ["event_id"], most_rows=2_000_000)
 
 
 @query("""
@@ -277,7 +277,7 @@ def t12_pettitt(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t13_cusum(spark: SparkSession, d: str) -> DataFrame:
-    return series.change_points(priority_series(spark, d), "cusum", iterations=200)
+    return series.change_points(priority_series(spark, d), "cusum")
 
 
 @query("""
@@ -511,7 +511,7 @@ def u1_union_projects(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t18_clustering_null(spark: SparkSession, d: str) -> DataFrame:
-    return terms.clustering_null(table(spark, d, "benchmark"), "item_id", threshold=0.9, iterations=40)
+    return terms.clustering_null(table(spark, d, "benchmark"), "item_id", threshold=0.9)
 
 
 EVENT_SPEC = TypeSpec("event", (Property("k", "integer", True), Property("kind", "enum", enum_values=("view", "click", "purchase")), Property("value", "duration")))

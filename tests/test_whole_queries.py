@@ -4,7 +4,10 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from quern.queries import QUERIES
+from tests.against_sql import SF
 
 TEXTS = [
     (1, "en", "the tide came in and the boats came home, the nets were dry"), (2, "en", "the harbour was quiet; boats and nets lay by the quay"),
@@ -42,3 +45,14 @@ def test_distinctive_terms_keep_every_term_met_twice(spark, tmp_path):
     assert max(kept.values()) < 50
     assert found.keys() == want.keys()
     assert all(abs(p - q) < 2e-4 for k in want for p, q in zip(found[k], want[k], strict=True))
+
+
+@pytest.mark.parametrize(("name", "iterations"), [("t7_permutation_control", 500), ("t13_cusum", 1000)])
+def test_controls_shuffle_as_often_as_by_default(spark, name, iterations):
+    found = [r.p * (iterations + 1) for r in QUERIES[name](spark, SF).collect()]
+    assert found
+    assert all(abs(p - round(p)) < 1e-6 and p >= 0.999 for p in found)
+
+
+def test_clustering_null_has_every_iteration(spark):
+    assert sorted(r.iteration for r in QUERIES["t18_clustering_null"](spark, SF).collect()) == list(range(199))
