@@ -459,6 +459,23 @@ def t16_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(terms.cosine_pairs(terms.tfidf(benchmark, "item_id"), queries), "cosine")
 
 
+TFIDF_DOCUMENTS = f"""
+with w as (select doc_id as id, {TOKENS} from documents), tf as (select id, term, count(*) as c from w group by all), df as (select term, count(*) as df from tf group by term), n as (select count(*)::double as n from documents),
+x as (select id, term, (1 + ln(c)) * ln(n / df) as w from tf join df using (term), n where df < n), nm as (select id, sqrt(sum(w * w)) as norm from x group by id), v as (select id, term, w / norm as weight from x join nm using (id))"""
+
+
+@query(TFIDF_DOCUMENTS + " select id, term, round(weight, 6) as weight from v")
+def t15_tfidf_documents(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(terms.tfidf(table(spark, d, "documents"), "doc_id"), "weight")
+
+
+@query(TFIDF_DOCUMENTS + " select a.id as a, b.id as b, round(sum(a.weight * b.weight), 6) as cosine from v a join v b on a.term = b.term and a.id <> b.id where a.id % 50 = 0 group by all")
+def t16_cosine_pairs_documents(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    queries = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"))
+    return rounded(terms.cosine_pairs(terms.tfidf(documents, "doc_id"), queries), "cosine")
+
+
 @query()
 def t20_collapse_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return terms.collapse_near_duplicates(table(spark, d, "documents"), "doc_id")

@@ -56,3 +56,18 @@ def test_controls_shuffle_as_often_as_by_default(spark, name, iterations):
 
 def test_clustering_null_has_every_iteration(spark):
     assert sorted(r.iteration for r in QUERIES["t18_clustering_null"](spark, SF).collect()) == list(range(199))
+
+
+def test_tfidf_and_cosine_of_documents(spark, tmp_path):
+    texts = [(i * 25, "en", t) for i, (_, _, t) in enumerate(TEXTS * 2)]
+    d = folder(spark, tmp_path, "documents", texts, "doc_id long, lang string, text string")
+    counts = {i: Counter(words(t)) for i, _, t in texts}
+    df = Counter(w for c in counts.values() for w in c)
+    weights = {i: {w: (1 + math.log(n)) * math.log(len(texts) / df[w]) for w, n in c.items() if df[w] < len(texts)} for i, c in counts.items()}
+    for v in weights.values():
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        v.update({w: x / norm for w, x in v.items()})
+    want = {(i, w): x for i, v in weights.items() for w, x in v.items()}
+    assert {(r.id, r.term): r.weight for r in QUERIES["t15_tfidf_documents"](spark, d).collect()} == pytest.approx(want, abs=2e-6)
+    pairs = {(a, b): sum(weights[a][w] * weights[b][w] for w in weights[a].keys() & weights[b].keys()) for a in weights if a % 50 == 0 for b in weights if a != b and weights[a].keys() & weights[b].keys()}
+    assert {(r.a, r.b): r.cosine for r in QUERIES["t16_cosine_pairs_documents"](spark, d).collect()} == pytest.approx(pairs, abs=2e-6)
