@@ -222,14 +222,26 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_coverage: float = 0.8) -> DataFrame:
-    """``docs`` without the hit spans; a document more than ``most_coverage`` of whose words are hit goes. Columns stay, n_chars is counted anew."""
+    """``docs`` without the hit spans; a document more than ``most_coverage`` of whose words are hit goes. Columns stay, n_chars is counted anew.
+
+    What a cut joins may be a hit again, so cutting goes on until no item is left: within a block of items in place, over several
+    blocks in rounds. Every round but the last takes words away.
+    """
     spark = docs.sparkSession
     clean = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    out = docs
+    cleaners = []
     for block in item_blocks(clean, block_bytes):
         shared = spark.sparkContext.broadcast([(r["item_id"], words_of(r["text"].encode())) for r in block.collect()])
-        out = out.withColumn("text", _cleaner(shared, window, most_coverage)("text")).filter(F.col("text").isNull() | (F.col("text") != GONE))
-    return restore(out, docs)
+        cleaners.append(_cleaner(shared, window, most_coverage))
+    out = docs
+    while True:
+        for cleaner in cleaners:
+            out = out.withColumn("text", cleaner("text")).filter(F.col("text").isNull() | (F.col("text") != GONE))
+        if len(cleaners) < 2:
+            return restore(out, docs)
+        out = cut(out, "decontaminated")
+        if not contamination(out.withColumn("doc_id", F.lit(0).cast("long")), benchmark, window, block_bytes).filter("contaminated").head(1):
+            return restore(out, docs)
 
 
 #: Stands for a document that goes; U+0000 twice around a word cannot be the result of cutting spans.
@@ -245,14 +257,17 @@ def _cleaner(shared, window: int, most_coverage: float):
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
-            raw = text.encode()
-            words = words_of(raw)
-            spans, _ = automaton.stream(words)
-            if not spans:
-                return text
-            if sum(b - a for a, b in spans) > most_coverage * len(words):
-                return GONE
-            return cut_spans(raw, spans).decode()
+            raw, n, hit = text.encode(), None, 0
+            while True:
+                words = words_of(raw)
+                n = len(words) if n is None else n
+                spans, _ = automaton.stream(words)
+                if not spans:
+                    return raw.decode()
+                hit += sum(b - a for a, b in spans)
+                if hit > most_coverage * n:
+                    return GONE
+                raw = cut_spans(raw, spans)
 
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype=object)
