@@ -3,7 +3,11 @@
 Every node of the page's tree has a number of characters, of tags, and of both inside links. Its density is
 characters per tag, lowered by a logarithm where links carry much of the text. The node whose children's
 densities add up to most is the article's; nodes elsewhere count too if their density is no lower than the least
-on the path from the body to that node. Elements that are never article text are taken out first.
+on the path from the body to that node.
+
+Elements that are never article text, by their name or by a class, id or role that names furniture as a whole word of its own, are
+taken out first. Where the page names no article and one such class or id holds most of its text, the name is not believed and
+density decides. A page is read in time proportional to its length, however its markup is broken.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +28,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 NEVER_TEXT = frozenset("head script style noscript template nav header footer aside form iframe object embed svg math canvas audio video button select textarea input menu dialog noembed noframes title link meta".split())
-#: Words of class, id and role values that mark what is not the article.
+#: Classes, ids and roles that mark what is not the article.
 NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search replies reply".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split()
 )
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that say where or what form, and join one of the above to a mark of the same sense ("site-header", "commentList").
+NEUTRAL = frozenset("site main primary secondary global top bottom left right upper lower inner outer area bar block box list item items wrapper wrap container content section panel slot unit links form count thread".split())
+#: A subtree with more than this share of the text holds most of it.
+MOSTLY = 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of the first closes an open one of the second, up to the nearest of the third.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {
@@ -38,81 +49,189 @@ SIBLINGS = {
 #: A p stays open across inline elements only.
 P_SCOPE = frozenset("article aside blockquote body button caption center dd details div dl fieldset figure footer form header html li main nav object ol section table td th ul".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-PARTS = re.compile(r"[a-z0-9]+")
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+QUOTED = re.compile(r"=\s*([\"'])")
+ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen")
+    """``skipped``: not article text; ``doubtful``: only because of a class, id or role, or as a form around an article.
+    ``headings``: only headings below count."""
+
+    __slots__ = ("tag", "children", "skipped", "doubtful", "headings", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen")
 
-    def __init__(self, tag: str, skipped: bool):
-        self.tag, self.skipped, self.children = tag, skipped, []
+    def __init__(self, tag: str, skipped: bool, doubtful: bool = False, headings: bool = False):
+        self.tag, self.skipped, self.doubtful, self.headings, self.children = tag, skipped, doubtful, headings, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.chosen = False
 
 
-def is_marked_out(tag: str, attributes: str) -> bool:
-    """Never article text, by its name or by a word of its class, id or role."""
+def names_furniture(mark: str) -> frozenset[str]:
+    """The furniture that a class, id or role names: all its parts do, or say where it is. ``has-sidebar`` names none."""
+    parts = {x.lower() for x in PARTS.findall(mark) if not x.isdigit()}
+    return frozenset(parts & (NOT_ARTICLE | COMMENTS)) if parts <= NOT_ARTICLE | COMMENTS | NEUTRAL else frozenset()
+
+
+def marks_out(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(never article text, but only by a class, id or role that may mislead)."""
     if tag in NEVER_TEXT:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    return any(not NOT_ARTICLE.isdisjoint(PARTS.findall((a or b or c).lower())) for a, b, c in MARKS.findall(attributes))
+        return False, False
+    named: set[str] = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for mark in "".join(values).split():
+                named |= names_furniture(mark)
+    return bool(named), bool(named) and named.isdisjoint(COMMENTS)
+
+
+class Page:
+    """Finds in a page; what does not occur any more costs nothing to look for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = {x: text.rfind(x) for x in (">", "-->", "]]>", '"', "'")}
+
+    def find(self, what: str, at: int) -> int:
+        return self.text.find(what, at) if at <= self.last[what] else -1
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` of a tag is that began before ``at``; quotes count only where a value begins, and only if they end. -1 if nowhere."""
+        close = self.find(">", at)
+        while close >= 0:
+            quote = QUOTED.search(self.text, at, close)
+            end = self.find(quote[1], quote.end()) if quote else -1
+            if end < 0:
+                break
+            at = end + 1
+            if close < at:
+                close = self.find(">", at)
+        return close
+
+
+class Open:
+    """The open elements, and where in the stack each kind of them is."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+    def nearest(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
+        """Closes the nearest of ``tags`` and those around it, as a cell closes with its row, up to the nearest of ``scope``."""
+        while (at := self.nearest(tags)) and at >= self.nearest(scope):
+            self.cut(at)
 
 
 def parse(page: str) -> Node:
-    """The page's tree of nodes and strings. Broken markup is closed the way browsers do it in the common cases."""
+    """The page's tree of nodes and strings. Broken markup is closed the way browsers do it in the common cases; a tag or comment without
+    an end reaches to the end of the page."""
     root = Node("#root", False)
-    stack, at = [root], 0
-    raw_end: dict[str, re.Pattern] = {}
-    while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
-            return root
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
+    source, tree, at = Page(page), Open(root), 0
+
+    def text(upto: int) -> None:
+        if upto > at and not tree.stack[-1].headings:
+            tree.stack[-1].children.append(page[at:upto])
+
+    while m := OPENING.search(page, at):
+        text(m.start())
         tag = m[2]
         if tag is None:
+            end = "-->" if m[0] == "<!--" else "]]>" if page.startswith("<![CDATA[", m.start()) and source.last["]]>"] > m.end() else ">"
+            close = source.find(end, m.end())
+            if close < 0:
+                return root
+            at = close + len(end)
             continue
         tag = tag.lower()
+        close = source.tag_end(m.end())
+        if close < 0:
+            return root
+        attributes, at = page[m.end() : close], close + 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            place = tree.places.get(tag)
+            if place and (tag not in INLINE or place[-1] > tree.blocks[-1]):
+                tree.cut(place[-1])
             continue
         if tag in CLOSES_P:
-            _close(stack, frozenset(["p"]), P_SCOPE)
+            tree.close(frozenset(["p"]), P_SCOPE)
         if tag in SIBLINGS:
-            _close(stack, *SIBLINGS[tag])
+            tree.close(*SIBLINGS[tag])
         if tag == "body":
-            del stack[1 + (len(stack) > 1 and stack[1].tag == "html") :]
-        node = Node(tag, is_marked_out(tag, m[3]))
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+            tree.cut(1 + (len(tree.stack) > 1 and tree.stack[1].tag == "html"))
+        parent = tree.stack[-1]
+        own_header = tag == "header" and bool(tree.places.get("article"))
+        skipped, doubtful = (False, False) if own_header else marks_out(tag, attributes)
+        node = Node(tag, skipped, doubtful, own_header or parent.headings and tag not in HEADINGS)
+        parent.children.append(node)
+        if tag in VOID or attributes.endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
-            end = raw_end.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>|\Z", re.I)).search(page, at)
-            at = end.end()
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close = source.find(">", end.end()) if end else -1
+            if close < 0:
+                return root
+            at = close + 1
             continue
-        stack.append(node)
+        if tag in ("article", "main"):
+            for form in tree.places.get("form", ()):
+                tree.stack[form].doubtful = True
+        tree.push(node)
+    text(len(page))
+    return root
+
 
+def believe(root: Node) -> None:
+    """Takes back the mark of a doubtful subtree with most of the text, if no article or main element lies outside all marked ones.
 
-def _close(stack: list[Node], tags: frozenset[str], scope: frozenset[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            # a cell closes with its row
-            return _close(stack, tags, scope)
-        if stack[i].tag in scope:
-            return None
-    return None
+    Within it the next marked subtree is held against the same text.
+    """
+    while True:
+        named, held, outer, todo = False, 0, [], [root]
+        while todo:
+            node = todo.pop()
+            if node.skipped:
+                if node.doubtful:
+                    outer.append((size_of(node), node))
+                continue
+            named |= node.tag in ("article", "main")
+            held += sum(len(c) for c in node.children if isinstance(c, str) and c.strip())
+            todo += [c for c in node.children if isinstance(c, Node)]
+        if named or not outer:
+            return
+        size, node = max(outer, key=itemgetter(0))
+        if size <= MOSTLY * (held + sum(s for s, _ in outer)):
+            return
+        node.skipped = False
+
+
+def size_of(root: Node) -> int:
+    """Characters of text in a subtree, without elements that are never text."""
+    size, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        size += sum(len(c) for c in node.children if isinstance(c, str) and c.strip())
+        todo += [c for c in node.children if isinstance(c, Node) and (c.doubtful or not c.skipped)]
+    return size
 
 
 def in_order(root: Node) -> list[Node]:
@@ -213,6 +332,7 @@ def blocks(root: Node) -> list[str]:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    believe(root)
     choose(root)
     return "\n\n".join(blocks(root))
 
