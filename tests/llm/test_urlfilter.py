@@ -83,7 +83,8 @@ def test_verdicts_equal_brute_force(spark):
     rows += [(400, "ftp"), (401, ""), (402, None), *rows[:20]]
     got = judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
     ruled = {r.page_id: r.verdict for r in got if r.rule}
-    grams = lambda u: [(p := START * ORDER + (u or "") + END)[i : i + ORDER + 1] for i in range(len(p) - ORDER)]
+    padded = lambda u: START * ORDER + (u or "") + END
+    grams = lambda u: [padded(u)[i : i + ORDER + 1] for i in range(len(padded(u)) - ORDER)]
     fold = {i: zlib.crc32((u or "").encode()) % FOLDS for i, u in rows}
 
     def model(verdict, without):
