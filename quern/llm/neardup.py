@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, slices
+from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, slices, unused
 
 WORDS = 5
 PERCENT = 80
@@ -357,6 +357,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` less the documents that a smaller doc_id of their group stands for. Columns stay; of rows that repeat a kept doc_id all stay."""
-    gone = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` less the documents that a smaller doc_id of their group stands for. Columns stay, whatever their names.
+
+    Of rows that repeat a kept doc_id all stay, as do null and empty texts and rows without a doc_id. An empty table stays empty.
+    """
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -97,3 +97,10 @@ def test_short_texts_make_one_shingle():
     s = Shingler(5)
     assert len(s(b"")) == 0 and len(s(b" \n")) == 0 and len(s(b"a b")) == 1
     assert s(b"a b").tolist() == s(b"A  B\n").tolist() != s(b"a b c").tolist()
+
+
+def test_names_of_columns_do_not_clash(edge_docs):
+    docs = edge_docs.withColumnsRenamed({"kept": "__gone", "n_lines": "gone", "lang": "id"})
+    out = without_near_duplicates(docs)
+    ids = {r.doc_id for r in out.collect()}  # four of the five shingles of 7 are those of 8
+    assert out.columns == docs.columns and {7, None} <= ids and 8 not in ids
