@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, slices, to_batches
+from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, slices, to_batches, unused
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -144,9 +144,6 @@ def doomed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*HASH)).alias("doomed"))
 
 
-
-
-
 def keep_lines(text: bytes, doomed: set[bytes], least_chars: int) -> tuple[int, int, bytes]:
     lines = text.split(b"\n")
     if not doomed:
@@ -180,10 +177,15 @@ def dedup_lines(docs: DataFrame, with_text: bool = True, **limits) -> DataFrame:
 
 
 def dedup_line_documents(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` with each text reduced to the lines it keeps and n_chars, if there, counted anew. Columns and rows stay; null text stays null."""
+    """``docs`` with each text reduced to the lines it keeps and n_chars, if there, counted anew. Columns stay, whatever their names, and rows do.
+
+    Null and empty texts stay as they are, as do rows without a doc_id; rows sharing a doc_id count as one document and are rewritten each.
+    An empty table stays empty.
+    """
     least_chars = limits.get("least_chars", LEAST_CHARS)
-    doomed = doomed_lines(docs, **limits).select(F.col("doc_id").alias("__id"), F.col("doomed").alias("__doomed"))
-    joined = docs.join(doomed, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    key, lost = unused(docs, "key"), unused(docs, "lost")
+    doomed = doomed_lines(docs, **limits).select(F.col("doc_id").alias(key), F.col("doomed").alias(lost))
+    joined = docs.join(doomed, docs["doc_id"] == doomed[key], "left").drop(key)
 
     @F.pandas_udf("string")
     def rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -195,8 +197,8 @@ def dedup_line_documents(docs: DataFrame, **limits) -> DataFrame:
 
         return pd.Series([one(t, d) for t, d in zip(text, gone, strict=True)], dtype=object)
 
-    out = joined.withColumn("text", F.when(F.col("__doomed").isNull(), F.col("text")).otherwise(rewrite("text", "__doomed")))
-    return restore(out.drop("__doomed"), docs)
+    out = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(rewrite("text", lost)))
+    return restore(out.drop(lost), docs)
 
 
 def restore(out: DataFrame, docs: DataFrame) -> DataFrame:

@@ -54,3 +54,9 @@ def test_documents_keep_columns_and_rows(edge_docs):
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
     assert {r.doc_id: r.text for r in out.filter("doc_id in (1, 6, 7)").collect()} == {1: None, 6: "own line of document six is here", 7: "another"}
     assert cut(out, "x").filter("n_chars <> length(text)").count() == 0
+
+
+def test_names_of_columns_do_not_clash(edge_docs):
+    docs = edge_docs.withColumnsRenamed({"kept": "__id", "n_lines": "__doomed", "lang": "key", "source": "lost"})
+    out = dedup_line_documents(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.filter("doc_id = 7").collect()} == {7: "another"}
