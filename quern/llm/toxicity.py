@@ -14,7 +14,7 @@ A chain is fitted on at most ``MOST_LABELLED`` labelled rows (the smallest hashe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, cut, slices, to_batches
+from quern.llm.common import as_bytes
 from quern.llm.decontam import words_of
 
 #: (label column, the value that counts as the category), in the chain's order.
@@ -61,10 +61,10 @@ def features(docs: DataFrame, columns: list[str]) -> DataFrame:
                 found = np.array([f for w in set(words_of(text)) for f in word_features(w)], np.int32)
                 b, c = np.unique(found, return_counts=True)
                 bins.append(b.astype(np.int32))
-                counts.append(np.minimum(c, 100).astype(np.int16))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bins, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))], [*columns, "bins", "counts"])
+                counts.append(c.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bins, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*columns, "bins", "counts"])
 
-    return kept.mapInArrow(run, inner + ", bins array<int>, counts array<smallint>")
+    return kept.mapInArrow(run, inner + ", bins array<int>, counts array<int>")
 
 
 class Model(NamedTuple):
@@ -155,10 +155,17 @@ def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Model]:
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, most: int = MOST_LABELLED) -> list[Model]:
-    """Fit the chain on at most ``most`` rows that carry all its labels."""
+    """Fit the chain on at most ``most`` documents that carry all its labels.
+
+    Of a document's differing label rows the least counts, of its differing texts the greatest, so that each is learnt from once.
+    """
     columns = [c for c, _ in chain]
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).dropna().groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("told"))
+    wanted = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "told.*")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")  # at most ``most`` ids
+    # ids alone tell whether rows repeat one; unrepeated texts stay where they lie
+    if texts.groupBy("doc_id").count().filter("count > 1").head(1):
+        texts = texts.groupBy("doc_id", *columns).agg(F.max("text").alias("text"))
     found = features(texts, ["doc_id", *columns]).toArrow().combine_chunks()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     bins, counts = ([x[i].values.to_numpy() for i in order] for x in (found["bins"].combine_chunks(), found["counts"].combine_chunks())) if found.num_rows else ([], [])
@@ -167,46 +174,54 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...]
     return fit_chain(Rows(bins, counts), y, folds)
 
 
-def predict(docs: DataFrame, models: list[Model], names: list[str], columns: list[str]) -> DataFrame:
-    """``columns`` and a probability ``p_<name>`` for each model of the chain."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([tuple(m) for m in models])
-    kept = docs.select(*columns, as_bytes("text").alias("__text"))
-    inner = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+def scorer(models: list[tuple]) -> Callable[[bytes], list[float]]:
+    """A function that gives a text's probability for each model of the chain. It holds a cache of words, so it belongs to one task."""
+    tables = [dict(zip(bins.tolist(), weights.tolist(), strict=True)) for bins, weights, _, _ in models]
+    rest = [(earlier.tolist(), bias) for _, _, earlier, bias in models]
+    zero = (0.0,) * len(tables)
+    cache: dict[bytes, tuple[float, ...]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [dict(zip(bins.tolist(), weights.tolist(), strict=True)) for bins, weights, _, _ in shared.value]
-        rest = [(earlier.tolist(), bias) for _, _, earlier, bias in shared.value]
-        zero = (0.0,) * len(tables)
-        cache: dict[bytes, tuple[float, ...]] = {}
-
-        def weigh(word: bytes) -> tuple[float, ...]:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            own = word_features(word)
-            found = tuple(sum(t.get(f, 0.0) for f in own) for t in tables)
-            cache[word] = found = found if any(found) else zero
-            return found
-
-        def one(text: bytes) -> list[float]:
-            sums = [0.0] * len(tables)
-            for word in set(words_of(text)):
-                found = cache.get(word) or weigh(word)
-                if found is not zero:
-                    for j, x in enumerate(found):
-                        sums[j] += x
-            out: list[float] = []
-            for s, (earlier, bias) in zip(sums, rest, strict=True):
-                margin = s + bias + sum(a * p for a, p in zip(earlier, out, strict=True))
-                out.append(float(sigmoid(np.float64(margin))))
-            return out
+    def weigh(word: bytes) -> tuple[float, ...]:
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        own = word_features(word)
+        found = tuple(sum(t.get(f, 0.0) for f in own) for t in tables)
+        cache[word] = found = found if any(found) else zero
+        return found
+
+    def one(text: bytes) -> list[float]:
+        sums = [0.0] * len(tables)
+        for word in set(words_of(text)):
+            found = cache.get(word) or weigh(word)
+            if found is not zero:
+                for j, x in enumerate(found):
+                    sums[j] += x
+        out: list[float] = []
+        for s, (earlier, bias) in zip(sums, rest, strict=True):
+            margin = s + bias + sum(a * p for a, p in zip(earlier, out, strict=True))
+            out.append(float(sigmoid(np.float64(margin))))
+        return out
+
+    return one
+
+
+def parts_with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batches in parts, and the texts of each part as bytes, null as no bytes."""
+    for part in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
+        yield part, [(t or "").encode() for t in part["text"].to_pylist()]
 
-        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
-            scores = [one(t) for t in batch["__text"].to_pylist()]
-            columns_out = list(zip(*scores, strict=True)) if scores else [[] for _ in tables]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.float64()) for c in columns_out)], [*batch.schema.names[:-1], *(f"p_{n}" for n in names)])
 
-    return kept.mapInArrow(run, inner + "".join(f", p_{n} double" for n in names))
+def predict(docs: DataFrame, models: list[Model], names: list[str]) -> DataFrame:
+    """doc_id and a probability ``p_<name>`` for each model of the chain."""
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(m) for m in models])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = scorer(shared.value)
+        for part, texts in parts_with_texts(batches):
+            scores = zip(*map(one, texts), strict=True)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, pa.float64()) for c in scores)], ["doc_id", *(f"p_{n}" for n in names)])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long" + "".join(f", p_{n} double" for n in names))
 
 
 def judge(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,12 +232,21 @@ def judge(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...]
     judged each. An empty table gives an empty result. Other columns are ignored.
     """
     names = ["low_quality" if c == "quality" else c for c, _ in chain]
-    scored = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, chain), names, ["doc_id"])
+    scored = predict(docs, train(docs, labels, chain), names)
     return scored.withColumn("toxic", F.col(f"p_{names[-1]}") >= threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` less the rows whose last category's probability reaches the threshold. Columns stay."""
-    models = train(docs, labels, chain)
-    scored = predict(docs, models, [f"_chain{j}" for j in range(len(models))], docs.columns)
-    return scored.filter(F.col(f"p__chain{len(models) - 1}") < threshold).select(*docs.columns)
+    """``docs`` less the rows whose last category's probability reaches the threshold. Columns stay, whatever their names.
+
+    Null and empty texts get the models' base rates; rows that repeat a doc_id are judged each; rows without one are judged too. Without
+    labelled rows all stay. An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(m) for m in train(docs, labels, chain)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = scorer(shared.value)
+        for part, texts in parts_with_texts(batches):
+            yield part.filter(pa.array([one(t)[-1] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

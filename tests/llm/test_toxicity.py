@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quern.llm.toxicity import Rows, fit, fit_chain, judge, sigmoid, without_toxic, word_features
+from quern.llm.toxicity import Rows, fit, fit_chain, judge, sigmoid, train, without_toxic, word_features
 
 MARKS = ["vilewort", "grimling", "foulmouth", "nastiest"]
 
@@ -69,3 +70,19 @@ def test_one_class_and_chance_features_give_constants():
 def test_features_are_the_word_and_its_beginnings():
     assert len(word_features(b"abc")) == 1 and len(word_features(b"abcdefgh")) == 4
     assert set(word_features(b"abcdefgh")[1:]) == set(word_features(b"abcdefxyz")[1:])
+
+
+def test_names_of_columns_do_not_clash(spark, edge_docs):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = edge_docs.withColumnsRenamed({"kept": "__text", "n_lines": "p__chain0"}).withColumn("toxic", F.lit(1)).withColumn("told", F.lit(1))
+    kept = without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    rows, labels = corpus(3, 300)
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    repeated = docs.union(docs.filter("doc_id < 2").crossJoin(spark.range(2000)).select("doc_id", "text"))
+    once, again = train(docs, seen), train(repeated, seen.union(seen))
+    for a, b in zip(once, again, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
