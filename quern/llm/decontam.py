@@ -11,19 +11,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, cut, slices, to_batches
+from quern.llm.common import as_bytes, cut, slices, to_batches, unused
 from quern.llm.linededup import restore
 
 WINDOW = 10
 #: UTF-8 bytes of item text in one automaton; more items make more automata, each streamed over all documents.
 BLOCK_BYTES = 8 << 20
+#: Rows handled at a time, so that long texts are not all held twice.
+PART = 256
 
 #: ASCII letters (lower-cased), digits and every byte of a non-ASCII code point make words; all else divides them.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
@@ -159,45 +163,61 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Da
     return [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
+def clean_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+
+
+def share_block(block: DataFrame) -> Broadcast:
+    """The block's items for the executors: at most a block's bytes, unless one item alone is larger."""
+    return block.sparkSession.sparkContext.broadcast({"items": [(r["item_id"], words_of(r["text"].encode())) for r in block.collect()]})
+
+
+def automaton_of(shared: dict, window: int) -> SuffixAutomaton:
+    """The automaton of a shared block. It stays with the block, so that a worker builds it once for all its tasks."""
+    if window not in shared:
+        shared[window] = SuffixAutomaton(shared["items"], window)
+    return shared[window]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words) and item_ids.
 
     Null text has no words; null item_id or item text takes no part; repeated items count once; rows sharing a doc_id are each
     judged by themselves. An empty item table leaves every document clean.
     """
-    spark = docs.sparkSession
-    clean = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    blocks = item_blocks(clean, block_bytes)
+    shares = [share_block(b) for b in item_blocks(clean_items(benchmark), block_bytes)]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(shares) == 1:
+        return finish(scan(shares[0], source, window))
+    # several automata: each leaves its own spans, which meet again by row
+    keyed = cut(source.withColumn("row", F.monotonically_increasing_id()), "decontam")
+    gathered = gather(shares, keyed.select("row", "text"), window)
+    return finish(gathered.join(keyed.select("row", "doc_id"), "row").drop("row"))
+
+
+def scan(shared: Broadcast, source: DataFrame, window: int) -> DataFrame:
+    """(doc_id, n_words, spans, item_ids) for each row of (doc_id, text): what one automaton finds."""
     schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def scan(block: DataFrame, source: DataFrame) -> DataFrame:
-        items = [(r["item_id"], words_of(r["text"].encode())) for r in block.collect()]  # at most a block
-        shared = spark.sparkContext.broadcast(items)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(shared.value, window)
+        for rows in slices(batches):
+            out = []
+            for doc_id, text in rows:
+                words = words_of(text)
+                spans, found = automaton.stream(words)
+                out.append((doc_id, len(words), [{"start": a, "end": b} for a, b in spans], sorted(automaton.names[i] for i in found)))
+            yield from to_batches(out, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("item_ids", pa.list_(pa.string()))])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, window)
-            for rows in slices(batches):
-                out = []
-                for doc_id, text in rows:
-                    words = words_of(text)
-                    spans, found = automaton.stream(words)
-                    out.append((doc_id, len(words), [{"start": a, "end": b} for a, b in spans], sorted(automaton.names[i] for i in found)))
-                yield from to_batches(out, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("item_ids", pa.list_(pa.string()))])
+    return source.select("doc_id", as_bytes("text")).mapInArrow(run, schema)
 
-        return source.select("doc_id", as_bytes("text")).mapInArrow(run, schema)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) == 1:
-        return finish(scan(blocks[0], source))
-    # several automata: each leaves its own spans, which meet again by row
-    keyed = cut(source.withColumn("row", F.monotonically_increasing_id()), "decontam")
-    parts = [scan(b, keyed.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row") for b in blocks]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    gathered = both.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
-    return finish(gathered.join(keyed.select("row", "doc_id"), "row").drop("row"))
+def gather(shares: list[Broadcast], keyed: DataFrame, window: int) -> DataFrame:
+    """(row, n_words, spans, item_ids) for each row of (row, text): what the automata of all blocks find."""
+    parts = [scan(s, keyed.select(F.col("row").alias("doc_id"), "text"), window).withColumnRenamed("doc_id", "row") for s in shares]
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
 
 
 def finish(found: DataFrame) -> DataFrame:
@@ -212,64 +232,98 @@ def finish(found: DataFrame) -> DataFrame:
     )
 
 
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, without overlap; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the bytes from each span's first word to its last; what stood around it stays."""
+    """The text without the bytes from each span's first word to its last; what stood around it stays. Spans are merged ones."""
     places, out, at = word_spans(text), [], 0
-    for start, end in sorted(spans):
-        out.append(text[at : max(at, places[start][0])])
-        at = max(at, places[end - 1][1])
+    for start, end in spans:
+        out.append(text[at : places[start][0]])
+        at = places[end - 1][1]
     return b"".join([*out, text[at:]])
 
 
+def hit_words(spans: list[tuple[int, int]]) -> int:
+    return sum(end - start for start, end in spans)
+
+
 def decontaminate_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_coverage: float = 0.8) -> DataFrame:
     """``docs`` without the hit spans; a document more than ``most_coverage`` of whose words are hit goes. Columns stay, n_chars is counted anew.
 
-    What a cut joins may be a hit again, so cutting goes on until no item is left: within a block of items in place, over several
-    blocks in rounds. Every round but the last takes words away.
+    What a cut joins may be a hit again, so cutting goes on until no item is left. Each time the spans of all items are taken
+    together, however many blocks hold them, and coverage is their words of all rounds over the words at first: the size of a block changes no row.
+    Null and empty texts stay as they are, as do rows without a doc_id; repeated rows are cut each. An empty item table leaves every row. An
+    empty table stays empty.
     """
-    spark = docs.sparkSession
-    clean = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    cleaners = []
-    for block in item_blocks(clean, block_bytes):
-        shared = spark.sparkContext.broadcast([(r["item_id"], words_of(r["text"].encode())) for r in block.collect()])
-        cleaners.append(_cleaner(shared, window, most_coverage))
-    out = docs
-    while True:
-        for cleaner in cleaners:
-            out = out.withColumn("text", cleaner("text")).filter(F.col("text").isNull() | (F.col("text") != GONE))
-        if len(cleaners) < 2:
-            return restore(out, docs)
-        out = cut(out, "decontaminated")
-        if not contamination(out.withColumn("doc_id", F.lit(0).cast("long")), benchmark, window, block_bytes).filter("contaminated").head(1):
-            return restore(out, docs)
+    shares = [share_block(b) for b in item_blocks(clean_items(benchmark), block_bytes)]
+    freed = _free_in_place(shares[0], docs, window, most_coverage) if len(shares) == 1 else _free_in_rounds(shares, docs, window, most_coverage)
+    return restore(freed, docs)
 
 
-#: Stands for a document that goes; U+0000 twice around a word cannot be the result of cutting spans.
-GONE = "\0gone\0"
+def _free_in_place(shared: Broadcast, docs: DataFrame, window: int, most_coverage: float) -> DataFrame:
+    """One pass where one automaton holds all items."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(shared.value, window)
 
-def _cleaner(shared, window: int, most_coverage: float):
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
-        automaton = SuffixAutomaton(shared.value, window)
-
-        def one(text: str | None) -> str | None:
+        def free(text: str | None) -> tuple[bool, str | None]:
             if text is None:
-                return None
+                return True, None
             raw, n, hit = text.encode(), None, 0
             while True:
                 words = words_of(raw)
                 n = len(words) if n is None else n
-                spans, _ = automaton.stream(words)
+                spans = merge_spans(automaton.stream(words)[0])
                 if not spans:
-                    return raw.decode()
-                hit += sum(b - a for a, b in spans)
+                    return True, raw.decode()
+                hit += hit_words(spans)
                 if hit > most_coverage * n:
-                    return GONE
+                    return False, None
                 raw = cut_spans(raw, spans)
 
-        for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+        for part in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
+            kept, texts = zip(*map(free, part["text"].to_pylist()), strict=True)
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    return clean
+def _free_in_rounds(shares: list[Broadcast], docs: DataFrame, window: int, most_coverage: float) -> DataFrame:
+    """Rounds over all blocks. Only documents that a round cut go into the next; every round but the last takes words away."""
+    row, new = unused(docs, "row"), unused(docs, "new")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontam")
+    schema = "row long, text string, total long, hit long"
+    fields = [("row", pa.int64()), ("text", pa.string()), ("total", pa.int64()), ("hit", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            out = []
+            for number, text, total, hit, spans in rows:
+                merged = merge_spans([(s["start"], s["end"]) for s in spans])
+                hit += hit_words(merged)
+                out.append((number, None if hit > most_coverage * total else cut_spans(text, merged).decode(), total, hit))
+            yield from to_batches(out, fields)
+
+    active = keyed.select(F.col(row).alias("row"), "text", F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("hit"))
+    rounds: list[DataFrame] = []  # of a row the last counts; a null text is a document that goes
+    while True:
+        found = gather(shares, active, window).filter(F.size("spans") > 0)
+        joined = active.join(found, "row").select("row", as_bytes("text"), F.coalesce("total", "n_words"), "hit", "spans")
+        rounds.append(cut(joined.mapInArrow(run, schema), "decontam-round"))
+        active = rounds[-1].filter("text is not null")
+        if not active.head(1):
+            break
+    last = [r.join(after.select("row"), "row", "left_anti") for r, after in pairwise(rounds)] + rounds[-1:]
+    changed = reduce(DataFrame.unionByName, last).select(F.col("row").alias(row), F.struct("text").alias(new))
+    text = F.when(F.col(new).isNull(), F.col("text")).otherwise(F.col(new)["text"])
+    return keyed.join(changed, row, "left").filter(F.col(new).isNull() | F.col(new)["text"].isNotNull()).withColumn("text", text).drop(row, new)
