@@ -34,7 +34,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.judge(read(spark, sf_dir, "documents"))
+    return compression.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
