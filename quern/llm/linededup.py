@@ -1,14 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (line hash, number of documents, largest document), bucketed and sorted by the hash, so
-that runs merge without shuffling. Each batch of documents is reduced to its own run; a merge-anti-join with
-the older runs tells which of its lines are new; then it is added at level 0. When a level holds ``fanout``
-runs they are compacted into one of the next level. Hashes have 128 bits: at 10^13 lines a false match stays
-below one in 10^12.
+that runs merge without shuffling. Each batch of documents is reduced to its own lines; a merge-anti-join with
+the older runs parts them: lines that no run holds become a new run at level 0, lines that one holds only leave their
+count and largest document behind as updates. So a line stands in one run only, and what is written for a batch is
+what is new in it. When a level holds ``fanout`` runs they are compacted into one of the next level. Hashes have 128 bits: at
+10^13 lines a false match stays below one in 10^12.
 
 Only hashes, counts and ids move before the last step; a line that half of all documents hold is one row per
-task after the partial aggregation, and its occurrences meet their one run row in a join whose large
-partitions Spark splits.
+task after the partial aggregation, and its occurrences meet their one run row where they lie.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from quern.llm.common import as_bytes, cut, partitions, remove, shared_path, sli
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-BATCHES = 2
+#: Documents of one batch, and batches at least: with four the second level fills.
+BATCH_DOCS = 1 << 30
+LEAST_BATCHES = 4
 FANOUT = 2
 #: The share of all occurrences, inverted, over which a line is handled where it lies; so many such lines exist at most.
 HOT_LINES = 5000
@@ -69,11 +71,12 @@ def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs. They live as bucketed tables under the session's shared folder."""
+    """The levelled runs. They live as bucketed tables under the session's shared folder, until ``drop``."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.buckets = spark, fanout, partitions(spark)
         self.levels: list[list[tuple[str, str]]] = []
+        self.updates: list[DataFrame] = []
 
     def _write(self, run: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", shared_path(self.spark, "line-run")
@@ -84,25 +87,35 @@ class LineRuns:
         self.spark.sql(f"drop table {run[0]}")
         remove(self.spark, run[1])
 
+    def drop(self) -> None:
+        """Remove all runs' tables and files."""
+        for level in self.levels:
+            for run in level:
+                self._drop(run)
+        self.levels = []
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     @staticmethod
     def _merge(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Two runs into one: a full outer merge join keeps the bucketing that a union would lose."""
+        """Two runs, which share no line, into one: a full outer merge join keeps the bucketing that a union would lose."""
         a, b = left.alias("a"), right.alias("b")
-        return a.join(b, HASH, "full_outer").select(
-            *HASH, (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.greatest("a.last_doc", "b.last_doc").alias("last_doc"), (F.coalesce("a.fresh", F.lit(False)) | F.coalesce("b.fresh", F.lit(False))).alias("fresh")
-        )
+        return a.join(b, HASH, "full_outer").select(*HASH, *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("n_docs", "last_doc")))
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2), once per document and line. ``fresh`` marks the lines that no older run holds."""
-        own = lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        for older in self.runs():
-            known = older.select(*HASH, F.lit(True).alias("known"))
-            own = own.join(known, HASH, "left").withColumn("old", F.coalesce("known", F.lit(False)) | (F.col("old") if "old" in own.columns else F.lit(False))).drop("known")
-        fresh = ~F.col("old") if "old" in own.columns else F.lit(True)
-        self._add(self._write(own.select(*HASH, "n_docs", "last_doc", fresh.alias("fresh"))), 0)
+        """Add a batch of (doc_id, h1, h2), once per document and line."""
+        own, older = self._write(lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))), self.runs()
+        if not older:
+            self._add(own, 0)
+            return
+        fresh = known = self.spark.table(own[0])
+        for run in older:
+            fresh = fresh.join(run.hint("merge"), HASH, "left_anti")
+        fresh_run = self._write(fresh)
+        self.updates.append(cut(known.join(self.spark.table(fresh_run[0]).hint("merge"), HASH, "left_anti"), "line-updates"))
+        self._drop(own)
+        self._add(fresh_run, 0)
 
     def _add(self, run: tuple[str, str], level: int) -> None:
         while len(self.levels) <= level:
@@ -120,13 +133,18 @@ class LineRuns:
         self._add(merged, level + 1)
 
     def merged(self) -> DataFrame:
-        """All runs as one table of (h1, h2, n_docs, last_doc)."""
-        return reduce(self._merge, self.runs()).drop("fresh")
+        """(h1, h2, n_docs, last_doc) of every line: each run's with the updates that came after it."""
+        lines = reduce(self._merge, self.runs())
+        if not self.updates:
+            return lines
+        later = reduce(DataFrame.unionByName, self.updates).groupBy(*HASH).agg(F.sum("n_docs").alias("n_more"), F.max("last_doc").alias("last_more"))
+        return lines.join(later, HASH, "left").select(*HASH, (F.col("n_docs") + F.coalesce("n_more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last_more").alias("last_doc"))
 
 
-def doomed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def doomed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, doomed): for each document that loses lines, the digests of their keys."""
     spark = docs.sparkSession
+    batches = batches or max(LEAST_BATCHES, -(-docs.count() // BATCH_DOCS))
     found = occurrences(docs, least_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     # rows that share a doc_id are one document; ids alone tell whether there are any, at a fraction of the lines' cost
     if docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").head(1):
@@ -136,6 +154,7 @@ def doomed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     for batch in range(batches):
         index.add(found.filter(F.col("batch") == batch).drop("batch"))
     shared = cut(index.merged().filter(F.col("n_docs") >= least_docs).select(*HASH, "n_docs", "last_doc"), "shared-lines")
+    index.drop()
     # At most HOT_LINES lines can each hold 1 / HOT_LINES of all occurrences: these meet theirs where they lie, so that
     # no task gets all occurrences of a line; the rest meet by hash.
     often = F.col("n_docs") > found.count() // HOT_LINES

@@ -39,14 +39,27 @@ def test_batches_and_compaction_change_nothing(spark, batches):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in found), key=str) == brute(rows)
 
 
-def test_runs_know_what_is_new(spark):
+def test_runs_hold_a_line_once(spark):
     first = spark.createDataFrame([(1, "a line that both batches hold\nonly the first has this line")], "doc_id long, text string")
     second = spark.createDataFrame([(2, "a line that both batches hold\nonly the second has this line")], "doc_id long, text string")
     runs = LineRuns(spark, fanout=3)
     runs.add(occurrences(first))
     runs.add(occurrences(second))
-    assert [sorted(r.fresh for r in run.collect()) for run in runs.runs()] == [[True, True], [False, True]]
-    assert sorted(r.n_docs for r in runs.merged().collect()) == [1, 1, 2]
+    assert [run.count() for run in runs.runs()] == [2, 1] and [u.count() for u in runs.updates] == [1]
+    assert sorted((r.n_docs, r.last_doc) for r in runs.merged().collect()) == [(1, 1), (1, 2), (2, 2)]
+    runs.drop()
+
+
+def test_levels_fill_and_no_table_stays(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    runs = LineRuns(spark)
+    for batch in range(5):
+        runs.add(occurrences(spark.createDataFrame([(batch, f"a line that all batches hold\nonly batch {batch} has this line")], "doc_id long, text string")))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert sorted((r.n_docs, r.last_doc) for r in runs.merged().collect()) == [*((1, i) for i in range(5)), (5, 4)]
+    runs.drop()
+    dedup_lines(spark.createDataFrame([(i, "a line that three documents hold") for i in range(3)], "doc_id long, text string")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_documents_keep_columns_and_rows(edge_docs):
