@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans.spec import canonical_json, sha256_hex
 
-#: Roots of plans that only read. A list of what is allowed, since not every writing plan calls itself a command.
-READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Union Intersect Except UnresolvedWith With SubqueryAlias Join UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedHaving Offset WithWindowDefinition OneRowRelation UnresolvedRelation Pivot Unpivot LateralJoin Generate Tail CTE WithCTE UnresolvedTableValuedFunction UnresolvedHint Limit".split())
+#: Nodes of plans that only read. A list of what is allowed, since not every writing plan calls itself a command.
+READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Distinct Union Intersect Except UnresolvedWith With SubqueryAlias Join AsOfJoin UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedHaving Offset WithWindowDefinition OneRowRelation UnresolvedRelation RelationTimeTravel Pivot Unpivot LateralJoin Generate Tail CTE WithCTE UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedHint Sample Window LocalRelation".split())
+#: Functions that call any static method of the driver's or an executor's machine.
+CALLING = frozenset("reflect java_method try_reflect".split())
 
 
 class QueryError(ValueError):
@@ -26,16 +28,45 @@ def statement_count(sql: str) -> int:
 
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of one reading statement; repeated column names get a number."""
+    """The result of one reading statement; repeated column names get a number.
+
+    Every node of the parsed statement must be one that reads, in whatever clause, subquery or named query it stands.
+    """
     if statement_count(sql) != 1:
         raise QueryError(f"one statement at a time, not {statement_count(sql)}")
     sql = sql.strip().rstrip(";")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if plan.nodeName() not in READING:
-        raise QueryError(f"only reading statements are run, not {plan.nodeName()}")
+    check_reading(spark, plan)
     return distinct_names(spark.sql(sql))
 
 
+def check_reading(spark: SparkSession, plan) -> None:
+    """Refuses a parsed plan with a node that may write or a function that calls out."""
+    def listed(seq) -> list:
+        return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
+
+    plans, expressions = [plan], []
+    while plans:
+        node = plans.pop()
+        if node.nodeName() not in READING:
+            raise QueryError(f"only reading statements are run, not {node.nodeName()}")
+        if node.nodeName() == "UnresolvedTableValuedFunction":
+            _check_name(listed(node.name()))
+        plans += [*listed(node.children()), *listed(node.innerChildren()), *listed(node.subqueries())]
+        expressions += listed(node.expressions())
+    while expressions:
+        e = expressions.pop()
+        if e.nodeName() == "UnresolvedFunction":
+            _check_name(listed(e.nameParts()))
+        expressions += listed(e.children())
+
+
+def _check_name(parts: list[str]) -> None:
+    name = parts[-1]
+    if name.lower() in CALLING:
+        raise QueryError(f"{name} calls methods of the machine")
+
+
 def distinct_names(df: DataFrame) -> DataFrame:
     seen: dict[str, int] = {}
     names = []

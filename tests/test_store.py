@@ -96,3 +96,42 @@ def test_command_line(store, capsys):
     main(["--store", store.path, "page", "review_done", "--size", "2"])
     out = capsys.readouterr().out.splitlines()
     assert json.loads(out[0]) == {"n": 9} and json.loads(out[1])["next_cursor"].startswith("asc1:")
+
+
+WRITING = [
+    "with x as (select 7 as a) insert into guarded select a from x",
+    "from guarded insert into guarded select a + 1 insert into guarded select a + 2",
+    "insert overwrite guarded values (9)",
+    "select * from (select reflect('java.lang.System', 'getProperty', 'user.home') as x)",
+    "select java_method('java.lang.System', 'nanoTime')",
+    "select 1 where exists (select TRY_REFLECT('java.lang.System', 'nanoTime'))",
+    "with x as (select `reflect`('java.lang.System', 'nanoTime') as a) select * from x",
+    "select a from guarded order by system.builtin.reflect('java.lang.System', 'nanoTime')",
+    "select transform(a) using 'cat' as (b) from guarded",
+    "create table guarded2 as select 1 as a", "drop table guarded", "cache table guarded", "set x = 1",
+]
+READ = [
+    "with x as (select a from guarded) select count(*) as n from x where a in (select a from guarded)",
+    "select g.a, (select max(a) from guarded) as m, row_number() over (order by g.a) as r from guarded g left join guarded h on g.a = h.a",
+    "select a, count(*) as n from guarded group by a having n > 0 order by a limit 3",
+    "select * from guarded, lateral (select guarded.a + 1 as b)",
+    "select * from range(3) union all select a from guarded", "values (1), (2)", "select explode(array(1, 2)) as x",
+    "with recursive t(n) as (select 1 union all select n + 1 from t where n < 3) select * from t",
+    "select * from guarded tablesample (50 percent)",
+]
+
+
+def test_only_reading_statements_run(spark):
+    from quern.sql import QueryError, query
+
+    spark.sql("drop table if exists guarded")
+    spark.sql("create table guarded using parquet as select 1 as a")
+    try:
+        for statement in WRITING:
+            with pytest.raises(QueryError):
+                query(spark, statement)
+        assert spark.table("guarded").count() == 1
+        for statement in READ:
+            query(spark, statement).collect()
+    finally:
+        spark.sql("drop table if exists guarded")
