@@ -77,7 +77,10 @@ def collapse_near_duplicates(docs: DataFrame, key: str = "id", text: str = "text
     n - ceil(threshold * n) + 1. So only rare shingles meet, and boilerplate never makes pairs. Equal sets are one row first.
     The representative has the most tokens, then the smallest id.
     """
-    sets = cut(shingle_sets(docs, key, text, size).withColumn("h", F.sha2(F.array_join(F.array_sort("shingles"), "\1"), 256)))
+    # 128-bit hashes stand for equal sets, 64-bit ones for shingles: their strings are not moved
+    hashed = F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))
+    sets = shingle_sets(docs, key, text, size).withColumn("h", F.substring(F.sha2(F.array_join(F.array_sort("shingles"), "\1"), 256), 1, 32))
+    sets = cut(sets.withColumn("shingles", hashed))
     heads = sets.filter(F.size("shingles") > 0).groupBy("h").agg(F.min("id").alias("head"))
     unique = sets.join(heads, (sets["h"] == heads["h"]) & (sets["id"] == heads["head"]), "left_semi").select("id", "shingles")
     rows = unique.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
