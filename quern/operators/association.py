@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from quern.functions.proportion import chi2_p, median_of, wilson
 from quern.functions.rng import DEFAULT_SEED, Mulberry
+from quern.plans.shared import cut
 
 #: A column that tells this share of another one's entropy defines it.
 DEFINITIONAL = 0.5
@@ -74,14 +75,26 @@ def chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", family: Iterable[str] = ()) -> DataFrame:
-    """``p_adjusted`` by the step-up procedure within each family. Ranks come from counts of distinct p-values, so families may
-    be long: only distinct values are ordered."""
+    """``p_adjusted`` by the step-up procedure within each family. Null p-values, and those of a null family, get none.
+
+    Only distinct values are ordered, over range partitions: each ranks its own, and the counts below it and the least value above
+    it are carried over from one row per partition and family. So a family may be as long as the data.
+    """
     by = list(family)
-    distinct = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__n"))
-    up = Window.partitionBy(*by).orderBy(p)
-    ranked = distinct.withColumn("__rank", F.sum("__n").over(up)).withColumn("__m", F.sum("__n").over(Window.partitionBy(*by)))
-    adjusted = F.least(F.lit(1.0), F.min(F.col("__m") / F.col("__rank") * F.col(p)).over(Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(ranked.withColumn("p_adjusted", adjusted).drop("__n", "__rank", "__m"), [*by, p], "left")
+    distinct = cut(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__n")))
+    # parts must not change between their uses
+    dealt = cut(distinct.repartitionByRange(*by, p).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
+    below = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*by, "__part", F.coalesce(F.sum("__sum").over(below), F.lit(0)).alias("__below"), F.sum("__sum").over(Window.partitionBy(*by)).alias("__m"))
+    inside = Window.partitionBy(*by, "__part")
+    rank = F.col("__below") + F.sum("__n").over(inside.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    raw = dealt.join(carried, [*by, "__part"]).withColumn("__q", F.col("__m") / rank * F.col(p))
+    above = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy(*by, "__part").agg(F.min("__q").alias("__q")).select(*by, "__part", F.min("__q").over(above).alias("__above"))
+    own = F.min("__q").over(inside.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    adjusted = raw.join(least, [*by, "__part"]).select(*by, p, F.least(F.lit(1.0), own, F.col("__above")).alias("p_adjusted"))
+    return df.join(adjusted, [*by, p], "left")
 
 
 def rank_associations(df: DataFrame, columns: list[str]) -> DataFrame:

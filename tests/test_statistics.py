@@ -6,7 +6,7 @@ import pytest
 
 from quern.functions.proportion import chi2_p, detectable_reduction, normal_quantile, power_verdict, required_units
 from quern.functions.rng import Mulberry, seed_of
-from quern.operators.association import permutation_null
+from quern.operators.association import benjamini_hochberg, permutation_null
 from quern.operators.sampling import allocate, diverse_sample, fit_to_budget, random_sample, stratified_sample
 from quern.operators.series import cusum_statistic, pettitt_statistic
 from quern.operators.terms import agglomerate, collapse_near_duplicates, components, cut_tree, minhash_signature, silhouette, sweep_threshold
@@ -145,3 +145,22 @@ def test_minhash_agrees_like_jaccard():
     a, b = {str(i) for i in range(100)}, {str(i) for i in range(10, 110)}
     same = np.mean(np.array(minhash_signature(a)) == np.array(minhash_signature(b)))
     assert abs(same - 90 / 110) < 0.15 and minhash_signature(set()) == [0xFFFFFFFF] * 128
+
+
+def test_adjusted_p_values_over_several_partitions(spark):
+    p = [(f, round((i * 7919 % 613) / 613, 3)) for f in ("x", "y") for i in range(900 if f == "x" else 40)] + [("x", None), (None, 0.5)]
+    want = {}
+    for f in ("x", "y"):
+        values = sorted(v for g, v in p if g == f and v is not None)
+        least = 1.0
+        for rank in range(len(values), 0, -1):
+            least = min(least, len(values) / rank * values[rank - 1])
+            want[f, values[rank - 1]] = least
+    rows = benjamini_hochberg(spark.createDataFrame(p, "f string, p double"), family=["f"]).collect()
+    assert len(rows) == len(p)
+    for r in rows:
+        expected = want.get((r.f, r.p))
+        assert r.p_adjusted == (expected if expected is None else pytest.approx(expected))
+    alone = [v for f, v in p if f == "y"]
+    for r in benjamini_hochberg(spark.createDataFrame([(v,) for v in alone], "p double")).collect():
+        assert r.p_adjusted == pytest.approx(want["y", r.p])
