@@ -178,7 +178,7 @@ def t2_design_effect(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "rho", "deff")
 
 
-ASSOC = """
+ASSOC_TABLES = """
 with base as (select o_orderstatus as status, o_orderpriority as priority, c_mktsegment as segment, cast(c_nationkey as varchar) as nation from orders join customer on o_custkey = c_custkey),
 pairs as (
   select 'status' as a, 'priority' as b, status as va, priority as vb from base union all select 'status', 'segment', status, segment from base union all select 'status', 'nation', status, nation from base
@@ -187,7 +187,9 @@ cells as (select a, b, va, vb, count(*) as n from pairs group by all),
 ma as (select a, b, va, sum(n) as ra from cells group by all), mb as (select a, b, vb, sum(n) as rb from cells group by all), t as (select a, b, sum(n)::double as t from cells group by all),
 grid as (select ma.a, ma.b, ma.va, mb.vb, ra * rb / t.t as e, coalesce(n, 0) as o, t.t from ma join mb on ma.a = mb.a and ma.b = mb.b join t on ma.a = t.a and ma.b = t.b left join cells c on c.a = ma.a and c.b = ma.b and c.va = ma.va and c.vb = mb.vb),
 chi as (select a, b, any_value(t) as t, sum((o - e) * (o - e) / e) as chi2, min(e) as least_expected, count(distinct va) as r, count(distinct vb) as c, sum(case when o > 0 then o / t * log2(o * t / (e * t)) else 0 end) as bits from grid group by a, b),
-ha as (select a, b, -sum(ra / t * log2(ra / t)) as h from ma join t using (a, b) group by a, b), hb as (select a, b, -sum(rb / t * log2(rb / t)) as h from mb join t using (a, b) group by a, b)
+ha as (select a, b, -sum(ra / t * log2(ra / t)) as h from ma join t using (a, b) group by a, b), hb as (select a, b, -sum(rb / t * log2(rb / t)) as h from mb join t using (a, b) group by a, b)"""
+
+ASSOC = ASSOC_TABLES + """
 select chi.a, chi.b, cast(t as bigint) as n, r as rows, c as cols, round(chi2, 4) as chi2, (r - 1) * (c - 1) as df, round(sqrt(chi2 / (t * (least(r, c) - 1))), 6) as v, round(bits, 6) as bits,
   round(least(1, 2 * bits / (ha.h + hb.h)), 6) as uncertainty, round(least(1, bits / hb.h), 6) as a_tells_b, round(least(1, bits / ha.h), 6) as b_tells_a, round(least_expected, 4) as least_expected
 from chi join ha using (a, b) join hb using (a, b)"""
@@ -205,9 +207,23 @@ def t3_association_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s, "v", "bits", "uncertainty", "a_tells_b", "b_tells_a")
 
 
-@query()
+#: The tail of chi-square as the Poisson sum that it equals for an even number of degrees, which these columns' sizes always give.
+RANKED = ASSOC_TABLES + """,
+s as (select chi.a, chi.b, t, r, c, chi2, (r - 1) * (c - 1) as df, greatest(0, chi2 / t - (r - 1) * (c - 1) / (t - 1)) as phi, least(r - (r - 1)**2 / (t - 1), c - (c - 1)**2 / (t - 1)) - 1 as under,
+  bits, least(1, 2 * bits / (ha.h + hb.h)) as uncertainty, least(1, bits / hb.h) as a_tells_b, least(1, bits / ha.h) as b_tells_a, least_expected from chi join ha using (a, b) join hb using (a, b)),
+p as (select *, list_sum(list_transform(range(0, df // 2), lambda k: exp(k * ln(chi2 / 2) - chi2 / 2 - lgamma(k + 1)))) as p from s where greatest(a_tells_b, b_tells_a) < 0.5),
+ranked as (select *, count(*) over () * p / count(*) over (order by p) as q from p)
+select a, b, cast(t as bigint) as n, r as rows, c as cols, round(chi2, 4) as chi2, df, round(sqrt(chi2 / (t * (least(r, c) - 1))), 6) as v, round(sqrt(phi / under), 6) as v_corrected, round(bits, 6) as bits,
+  round(uncertainty, 6) as uncertainty, round(a_tells_b, 6) as a_tells_b, round(b_tells_a, 6) as b_tells_a, round(least_expected, 4) as least_expected, round(p, 6) as p,
+  round(least(1, min(q) over (order by p desc)), 6) as p_adjusted
+from ranked"""
+
+
+@query(RANKED)
 def t10_rank_associations(spark: SparkSession, d: str) -> DataFrame:
-    return association.rank_associations(assoc_base(spark, d), ["status", "priority", "segment", "nation"])
+    s = association.rank_associations(assoc_base(spark, d), ["status", "priority", "segment", "nation"])
+    s = s.drop("pair", "definitional").withColumn("chi2", F.round("chi2", 4)).withColumn("least_expected", F.round("least_expected", 4))
+    return rounded(s, "v", "v_corrected", "bits", "uncertainty", "a_tells_b", "b_tells_a", "p", "p_adjusted")
 
 
 @query()
@@ -224,11 +240,13 @@ def t9_benjamini_hochberg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(association.benjamini_hochberg(p), "p_adjusted")
 
 
-RULES = """
+RULE_ITEMS = """
 with items as (
   select cast(o_orderkey as varchar) as id, 'priority=' || o_orderpriority as item from orders union all select cast(o_orderkey as varchar), 'status=' || o_orderstatus from orders
   union all select cast(o_orderkey as varchar), 'segment=' || c_mktsegment from orders join customer on o_custkey = c_custkey),
-n as (select count(distinct id) as n from items), one as (select item, count(*) as c from items group by item),
+n as (select count(distinct id) as n from items), one as (select item, count(*) as c from items group by item)"""
+
+RULES = RULE_ITEMS + """,
 two as (select a.item as x, b.item as y, count(*) as c from items a join items b on a.id = b.id and a.item <> b.item group by all)
 select x as antecedent, y as consequent, two.c as support, ox.c as n_antecedent, oy.c as n_consequent, n.n, round(two.c::double / ox.c, 6) as confidence, round(two.c::double / ox.c / (oy.c::double / n.n), 6) as lift
 from two join one ox on ox.item = x join one oy on oy.item = y, n where two.c >= 20"""
@@ -246,9 +264,26 @@ def t11_association_rules(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "confidence", "lift")
 
 
-@query()
+RULES_OF_THREE = RULE_ITEMS + """,
+single as (select a.item as antecedent, b.item as consequent, count(*) as support from items a join items b on a.id = b.id and a.item <> b.item group by all having count(*) >= 20),
+pair as (select a.item as x, b.item as y, count(*) as c from items a join items b on a.id = b.id and a.item < b.item group by all),
+double as (select a.item as x, b.item as y, c.item as consequent, count(*) as support from items a join items b on a.id = b.id and a.item < b.item join items c on c.id = a.id and c.item not in (a.item, b.item) group by all having count(*) >= 20),
+rules as (
+  select antecedent, consequent, support, c as n_antecedent, cast(null as double) as best from single join one on item = antecedent
+  union all select d.x || ' & ' || d.y, d.consequent, d.support, pair.c, greatest(sx.support::double / ox.c, sy.support::double / oy.c)
+  from double d join pair on pair.x = d.x and pair.y = d.y join single sx on sx.antecedent = d.x and sx.consequent = d.consequent join single sy on sy.antecedent = d.y and sy.consequent = d.consequent
+    join one ox on ox.item = d.x join one oy on oy.item = d.y),
+v as (select antecedent, consequent, support, n_antecedent, one.c as n_consequent, n.n as n, support::double / n_antecedent as p, 1.959963984540054 as z, one.c::double / n.n as base, best from rules join one on one.item = consequent, n),
+w as (select *, (p + z * z / (2 * n_antecedent)) / (1 + z * z / n_antecedent) as centre, z / (1 + z * z / n_antecedent) * sqrt(p * (1 - p) / n_antecedent + z * z / (4.0 * n_antecedent * n_antecedent)) as half from v)
+select antecedent, consequent, support, n_antecedent, n_consequent, n, round(p, 6) as confidence, round(greatest(0, least(p, centre - half)), 6) as lower, round(least(1, greatest(p, centre + half)), 6) as upper,
+  round(p / base, 6) as lift, greatest(0, least(p, centre - half)) > base as informative, p > greatest(coalesce(best, 0), base) as productive
+from w"""
+
+
+@query(RULES_OF_THREE)
 def t11_association_rules_of_three(spark: SparkSession, d: str) -> DataFrame:
-    return association.association_rules(order_items(spark, d)).withColumn("antecedent", F.array_join("antecedent", " & "))
+    rules = association.association_rules(order_items(spark, d)).withColumn("antecedent", F.array_join("antecedent", " & "))
+    return rounded(rules, "confidence", "lower", "upper", "lift")
 
 
 @query("select strftime(g.d, '%Y-%m-%d') as label, coalesce(n, 0) as n from (select unnest(generate_series(min(ts)::date, max(ts)::date, interval 1 day)) as d from events) g left join (select ts::date as day, count(*) as n from events group by 1) e on e.day = g.d::date")
@@ -476,7 +511,14 @@ def t16_cosine_pairs_documents(spark: SparkSession, d: str) -> DataFrame:
     return rounded(terms.cosine_pairs(terms.tfidf(documents, "doc_id"), queries), "cosine")
 
 
-@query()
+@query("""
+with recursive t as (select doc_id as id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '') as t from documents),
+s as (select id, len(t) as n_tokens, case when len(t) > 3 then list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) when len(t) > 0 then [array_to_string(t, ' ')] else [] end as shingles from t),
+x as (select id, len(shingles) as n, unnest(shingles) as s from s),
+e as materialized (select a.id as a, b.id as b from x a join x b on a.s = b.s and a.id <> b.id and least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9 group by a.id, b.id, a.n, b.n having count(*)::double / (a.n + b.n - count(*)) >= 0.9),
+r as (select id, id as g from s union select r.id, e.b from r join e on e.a = r.g),
+c as (select id, min(g) as g from r group by id)
+select id, g as "group", first_value(id) over (partition by g order by n_tokens desc, id) as representative from c join s using (id)""")
 def t20_collapse_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return terms.collapse_near_duplicates(table(spark, d, "documents"), "doc_id")
 
@@ -508,7 +550,13 @@ def r2_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_sample(table(spark, d, "orders"), "o_orderkey", "o_orderpriority", 100)
 
 
-@query()
+@query("""
+with recursive heads as (select p_brand as b, p_size as s, min(p_partkey) as id from part group by all),
+r as (
+  select 0 as step, cast([] as varchar[]) as covered, cast(null as bigint) as id
+  union all select step + 1, list_concat(covered, ['b' || heads.b, 's' || heads.s]), heads.id from r, heads where step < 60 and not list_has_all(covered, ['b' || heads.b, 's' || heads.s])
+  qualify row_number() over (order by list_contains(covered, 'b' || heads.b)::int + list_contains(covered, 's' || heads.s)::int, heads.id) = 1)
+select * from part where p_partkey in (select id from r where id is not null)""")
 def r4_diverse_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.diverse_sample(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], 60)
 
