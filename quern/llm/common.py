@@ -23,10 +23,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests, one machine) is a folder made and set.
+    Only where a session on one machine names none (tests) is a folder made and set; on a cluster executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quern-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = "file://" + folder
