@@ -12,11 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quern.streaming.batch import STREAM
 from quern.streaming.handlers import Handler, Machine
 
+#: Fields that every event has, if only as null.
+NAMED = frozenset({*STREAM, "kind"})
+
 
 def _events(frame: pd.DataFrame, order: str = "seq") -> list[dict]:
     rows = []
     for row in frame.sort_values(order, kind="stable").to_dict("records"):
-        rows.append({k: (v.tolist() if hasattr(v, "tolist") else v) for k, v in row.items() if not (v is None or (isinstance(v, float) and v != v))})
+        rows.append({k: (v.tolist() if hasattr(v, "tolist") else v) for k, v in row.items() if k in NAMED or not (v is None or (isinstance(v, float) and v != v))})
     return rows
 
 

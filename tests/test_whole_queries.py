@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from datetime import datetime
 
 import pytest
 
@@ -71,3 +72,11 @@ def test_tfidf_and_cosine_of_documents(spark, tmp_path):
     assert {(r.id, r.term): r.weight for r in QUERIES["t15_tfidf_documents"](spark, d).collect()} == pytest.approx(want, abs=2e-6)
     pairs = {(a, b): sum(weights[a][w] * weights[b][w] for w in weights[a].keys() & weights[b].keys()) for a in weights if a % 50 == 0 for b in weights if a != b and weights[a].keys() & weights[b].keys()}
     assert {(r.a, r.b): r.cosine for r in QUERIES["t16_cosine_pairs_documents"](spark, d).collect()} == pytest.approx(pairs, abs=2e-6)
+
+
+def test_replay_counts_no_row_for_amounts_of_zero(spark, tmp_path):
+    events = [(1, 1, "view", 5.0), (2, 1, "view", 0.0), (3, 1, "view", None), (4, 1, "click", 9.0), (5, 2, "view", -1.0), (6, 3, "click", 2.0), (7, 3, None, 2.0), (8, None, "view", 2.0)]
+    rows = [(i, datetime(2024, 1, 1, 0, i), u, k, v, "{}") for i, u, k, v in events]
+    d = folder(spark, tmp_path, "events", rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    found = {r.session_id: (r.agent_id, r.triggers, r.rows) for r in QUERIES["a18_replay_units"](spark, d).collect()}
+    assert found == {"1": ("main", 3, 1), "2": ("main", 1, 0), "3": ("main", 0, 0), None: ("main", 1, 1)}
