@@ -57,6 +57,16 @@ class Mulberry:
             pool[i], pool[j] = pool[j], pool[i]
         return pool[: min(n, len(pool))]
 
+    def places(self, total: int, n: int) -> list[int]:
+        """The places that ``draw`` takes from ``total`` values; only those that have moved are held."""
+        moved: dict[int, int] = {}
+        out = []
+        for i in range(min(n, total)):
+            j = i + self.below(total - i)
+            out.append(moved.get(j, j))
+            moved[j] = moved.pop(i, i)
+        return out
+
     def take(self, n: int) -> np.ndarray:
         """The next ``n`` numbers at once."""
         t = (np.uint64(self.state) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)) & np.uint64(WORD)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.rng import DEFAULT_SEED, Mulberry
+from quern.plans.shared import cut
 
-#: Ids that a seeded draw may bring to the driver; more are refused, since the draw's order is one sequence.
+#: Distinct combinations that a diverse sample may bring to the driver.
 MOST_IDS = 5_000_000
+#: Spark's increasing ids hold a row's place in its partition in the lower 33 bits.
+PART_ROWS = (1 << 33) - 1
 
 
 class SampleError(ValueError):
@@ -20,22 +23,37 @@ def _check(size: int) -> None:
         raise SampleError("a sample has at least one row")
 
 
-def _ids(df: DataFrame, key: str, *more: str) -> list:
-    if df.count() > MOST_IDS:
-        raise SampleError(f"a seeded draw orders all ids in one place: {MOST_IDS} at most")
-    return df.select(key, *more).orderBy(key).collect()
+def _at_ranks(df: DataFrame, key: str, order: list[Column], ranks: list[int]) -> DataFrame:
+    """The keys at the given places, from 0, of the rows in ``order``.
+
+    Range partitions are sorted, each by itself, and their sizes added up: only the places and one number per partition are ever in
+    one place. Rows that are equal in ``order`` are shared out too.
+    """
+    tied = [*order, F.col("__tie")]
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*tied).sortWithinPartitions(*tied)
+    # a checkpoint keeps partitions and the order of their rows, and an increasing id counts a partition's rows
+    held = cut(dealt.select(key)).select(key, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(PART_ROWS).alias("__row"))
+    starts, at = [], 0
+    for r in held.groupBy("__part").count().orderBy("__part").collect():
+        starts.append((r["__part"], at))
+        at += r["count"]
+    spark = df.sparkSession
+    parts = spark.createDataFrame(starts, "__part int, __start long")
+    wanted = spark.createDataFrame([(r,) for r in ranks], "__rank long")
+    ranked = held.join(F.broadcast(parts), "__part").select(key, (F.col("__start") + F.col("__row")).alias("__rank"))
+    return ranked.join(F.broadcast(wanted), "__rank", "left_semi").select(key)
 
 
 def random_sample(df: DataFrame, key: str, size: int, seed: str = DEFAULT_SEED) -> DataFrame:
     """``size`` rows, each set of ids as likely as any other, the same for the same seed."""
     _check(size)
-    chosen = Mulberry(seed).draw([r[0] for r in _ids(df, key)], size)
-    return _pick(df, key, chosen)
+    places = Mulberry(seed).places(df.count(), size)
+    return _pick(df, key, _at_ranks(df.select(key), key, [F.asc_nulls_first(key)], places))
 
 
-def _pick(df: DataFrame, key: str, chosen: list) -> DataFrame:
-    ids = df.sparkSession.createDataFrame([(c,) for c in chosen], f"`{key}` {df.schema[key].dataType.simpleString()}")
-    return df.join(F.broadcast(ids), key, "left_semi").orderBy(key)
+def _pick(df: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """The rows of the chosen keys, which are no more than a sample has."""
+    return df.join(F.broadcast(chosen), key, "left_semi").orderBy(key)
 
 
 def allocate(populations: list[int], size: int) -> list[int]:
@@ -68,14 +86,24 @@ def allocate(populations: list[int], size: int) -> list[int]:
 def stratified_sample(df: DataFrame, key: str, stratum: str, size: int, seed: str = DEFAULT_SEED) -> DataFrame:
     """Rows in proportion to the strata, one at least of each; strata in order share one generator."""
     _check(size)
-    by: dict = {}
-    for r in _ids(df, key, stratum):
-        by.setdefault(r[1], []).append(r[0])
-    names = sorted(by, key=lambda x: (x is None, x))
-    rng, chosen = Mulberry(seed), []
-    for name, n in zip(names, allocate([len(by[x]) for x in names], size), strict=True):
-        chosen += rng.draw(by[name], n)
-    return _pick(df, key, chosen)
+    sizes = df.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("__n"))
+    # no more strata than rows of the sample can have a part in it: the largest
+    largest = sizes.orderBy(F.desc("__n"), F.asc_nulls_last("__stratum")).limit(size + 1).collect()
+    rows = df.select(F.col(key), F.col(stratum).alias("__stratum"))
+    if len(largest) > size:
+        largest = largest[:size]
+        kept = df.sparkSession.createDataFrame([(r["__stratum"],) for r in largest], f"__kept {df.schema[stratum].dataType.simpleString()}")
+        rows = rows.join(F.broadcast(kept), F.col("__stratum").eqNullSafe(F.col("__kept")), "left_semi")
+        parts = {r["__stratum"]: 1 for r in largest}
+    else:
+        names = sorted((r["__stratum"] for r in largest), key=lambda x: (x is None, x))
+        by = {r["__stratum"]: r["__n"] for r in largest}
+        parts = dict(zip(names, allocate([by[x] for x in names], size), strict=True))
+    rng, places, start = Mulberry(seed), [], 0
+    for r in sorted(largest, key=lambda r: (r["__stratum"] is None, r["__stratum"])):
+        places += [start + i for i in rng.places(r["__n"], parts[r["__stratum"]])]
+        start += r["__n"]
+    return _pick(df, key, _at_ranks(rows, key, [F.asc_nulls_last("__stratum"), F.asc_nulls_first(key)], places))
 
 
 def diverse_sample(df: DataFrame, key: str, columns: list[str], size: int) -> DataFrame:
@@ -99,7 +127,7 @@ def diverse_sample(df: DataFrame, key: str, columns: list[str], size: int) -> Da
             break
         covered |= rows[at][1]
         chosen.append(rows[at][0])
-    return _pick(df, key, chosen)
+    return _pick(df, key, df.sparkSession.createDataFrame([(c,) for c in chosen], f"`{key}` {df.schema[key].dataType.simpleString()}"))
 
 
 def outlier_scores(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from quern.functions.proportion import chi2_p, detectable_reduction, normal_quantile, power_verdict, required_units
 from quern.functions.rng import Mulberry, seed_of
 from quern.operators.association import benjamini_hochberg, permutation_null
+from quern.operators import sampling
 from quern.operators.sampling import allocate, diverse_sample, fit_to_budget, random_sample, stratified_sample
 from quern.operators.series import cusum_statistic, pettitt_statistic
 from quern.operators.terms import agglomerate, collapse_near_duplicates, components, cut_tree, minhash_signature, silhouette, sweep_threshold
@@ -93,6 +94,32 @@ def test_samples_are_seeded(spark):
     assert len(diverse_sample(df, "id", ["s", "t"], 50).collect()) == 7
 
 
+def drawn_by_hand(df, key, size, seed, stratum=None):
+    by = {}
+    for r in df.select(key, *([stratum] if stratum else [])).orderBy(key).collect():
+        by.setdefault(r[1] if stratum else 0, []).append(r[0])
+    names, rng = sorted(by, key=lambda x: (x is None, x)), Mulberry(seed)
+    return [k for x, n in zip(names, allocate([len(by[x]) for x in names], size), strict=True) for k in rng.draw(by[x], n)]
+
+
+def odd_keys(spark):
+    """Keys out of order over several partitions, some repeated and some null."""
+    df = spark.range(0, 900, 1, 7).selectExpr("id * 7919 % 1009 as id", "cast(id % 5 as string) as s")
+    return df.union(df.filter("id < 30")).union(spark.sql("select cast(null as long), '1' union all select 5000, null union all select 5001, null"))
+
+
+def as_before(df, key, chosen):
+    return sorted(r[key] for r in df.collect() if r[key] is not None and r[key] in set(chosen))
+
+
+@pytest.mark.parametrize("size", [1, 40, 2000])
+def test_random_sample_has_no_limit_of_ids(spark, monkeypatch, size):
+    monkeypatch.setattr(sampling, "MOST_IDS", 10)
+    df = odd_keys(spark)
+    assert [r.id for r in random_sample(df, "id", size, "x").collect()] == as_before(df, "id", drawn_by_hand(df, "id", size, "x"))
+    assert random_sample(df.filter("false"), "id", size).count() == 0
+
+
 def test_budget():
     assert fit_to_budget(["aaaa", "bb", "c"], 3) == 2 and fit_to_budget([], 3) == 0
 
