@@ -120,6 +120,15 @@ def test_random_sample_has_no_limit_of_ids(spark, monkeypatch, size):
     assert random_sample(df.filter("false"), "id", size).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 6, 40, 2000])
+def test_stratified_sample_has_no_limit_of_ids(spark, monkeypatch, size):
+    """Sizes below the six strata, equal to them, above, and of more rows than there are."""
+    monkeypatch.setattr(sampling, "MOST_IDS", 10)
+    df = odd_keys(spark)
+    assert [r.id for r in stratified_sample(df, "id", "s", size, "x").collect()] == as_before(df, "id", drawn_by_hand(df, "id", size, "x", "s"))
+    assert stratified_sample(df.filter("false"), "id", "s", size).count() == 0
+
+
 def test_budget():
     assert fit_to_budget(["aaaa", "bb", "c"], 3) == 2 and fit_to_budget([], 3) == 0
 
