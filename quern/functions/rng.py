@@ -16,6 +16,8 @@ WORD = 0xFFFFFFFF
 FNV_BASIS, FNV_PRIME = 0x811C9DC5, 0x01000193
 STEP = 0x6D2B79F5
 DEFAULT_SEED = "quern"
+#: Swaps of an array's shuffle that are worked out at a time, and how many values are shuffled one by one.
+SWAPS, FEW = 1 << 15, 2_000
 
 
 def seed_of(text: str) -> int:
@@ -69,12 +71,37 @@ class Mulberry:
 
     def take(self, n: int) -> np.ndarray:
         """The next ``n`` numbers at once."""
-        t = (np.uint64(self.state) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)) & np.uint64(WORD)
-        self.state = int(t[-1]) if n else self.state
-        mul = lambda a, b: (a * b) & np.uint64(WORD)
-        t = mul(t ^ t >> np.uint64(15), t | np.uint64(1))
-        t = t ^ ((t + mul(t ^ t >> np.uint64(7), t | np.uint64(61))) & np.uint64(WORD))
-        return (t ^ t >> np.uint64(14)).astype(float) / 4294967296
+        t = np.arange(1, n + 1, dtype=np.uint32) * np.uint32(STEP) + np.uint32(self.state)
+        self.state = (self.state + n * STEP) & WORD
+        t = (t ^ t >> np.uint32(15)) * (t | np.uint32(1))
+        t ^= t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))
+        return (t ^ t >> np.uint32(14)) / 4294967296
+
+    def shuffle_array(self, values: np.ndarray) -> None:
+        """``shuffle`` of an array: the same swaps, made side by side as long as no two of them touch one place."""
+        i = len(values) - 1
+        while i > FEW:
+            # so few swaps at once that hardly one batch in a hundred has two that meet
+            wide = int(0.09 * i**0.5)
+            deep = max(1, min(SWAPS, i - FEW) // wide)
+            to = (self.take(deep * wide) * np.arange(i + 1, i + 1 - deep * wide, -1)).astype(np.intp).reshape(deep, wide)
+            ordered = np.sort(to.astype(np.int32) if i < 1 << 31 else to, axis=1)
+            first = i + 1 - wide * np.arange(1, deep + 1)
+            meet = (ordered[:, -1] >= first) | (ordered[:, 1:] == ordered[:, :-1]).any(1)
+            for low, met, places in zip(first.tolist(), meet.tolist(), to, strict=True):
+                if met:
+                    for k, j in enumerate(places.tolist()):
+                        own = low + wide - 1 - k
+                        values[own], values[j] = values[j], values[own]
+                    continue
+                own = values[low : low + wide][::-1]
+                moved = values[places]
+                values[places] = own
+                own[:] = moved
+            i -= deep * wide
+        rest = values[: i + 1].tolist()
+        self.shuffle(rest)
+        values[: i + 1] = rest
 
 
 def hash_share(key: Column, seed: str) -> Column:

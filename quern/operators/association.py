@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -19,6 +21,11 @@ from quern.plans.shared import cut
 #: A column that tells this share of another one's entropy defines it.
 DEFINITIONAL = 0.5
 LEAST_ROWS = 20
+#: Rows whose cells are counted at a time.
+STEP = 1 << 18
+#: A chunk of a pair's rows as codes.
+CHUNK_NAMES = ["a", "b", "part", "chunk", "names_a", "codes_a", "names_b", "codes_b"]
+CHUNK_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()), pa.binary()]
 
 
 def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,9 +110,34 @@ def rank_associations(df: DataFrame, columns: list[str]) -> DataFrame:
     return benjamini_hochberg(s).orderBy(F.desc("v_corrected"), "p", "a", "b")
 
 
-def _chi2(a: np.ndarray, b: np.ndarray, expected: np.ndarray, cols: int) -> float:
-    table = np.bincount(a * cols + b, minlength=expected.size).reshape(expected.shape)
-    return float(((table - expected) ** 2 / expected).sum())
+def _chi2(a: np.ndarray, b: np.ndarray, expected: np.ndarray) -> float:
+    table, cols = np.zeros(expected.size, np.int64), expected.shape[1]
+    for at in range(0, len(a), step := max(STEP, expected.size)):
+        table += np.bincount(a[at : at + step].astype(np.intp) * cols + b[at : at + step], minlength=expected.size)
+    return float(((table.reshape(expected.shape) - expected) ** 2 / expected).sum())
+
+
+def _spread(stats: list[float], observed: float) -> dict:
+    stats.sort()
+    middle, n = len(stats) // 2, len(stats)
+    return {
+        "chi2": observed, "iterations": n, "median": stats[middle] if n % 2 else (stats[middle - 1] + stats[middle]) / 2,
+        "p95": stats[min(n - 1, math.floor(0.95 * n))], "most": stats[-1], "p": (sum(s >= observed - 1e-12 for s in stats) + 1) / (n + 1),
+    }
+
+
+def _narrow(codes: np.ndarray, most: int) -> np.ndarray:
+    return codes.astype(np.min_scalar_type(max(0, most - 1)))
+
+
+def _shuffled(x: np.ndarray, y: np.ndarray, iterations: int, seed: str) -> dict:
+    """The null of two columns of codes, all of which occur. Only the codes and one segment of swaps are held."""
+    expected = np.outer(np.bincount(x), np.bincount(y)) / len(x)
+    observed, rng, stats, y = _chi2(x, y, expected), Mulberry(seed), [], y.copy()
+    for _ in range(iterations):
+        rng.shuffle_array(y)
+        stats.append(_chi2(x, y, expected))
+    return _spread(stats, observed)
 
 
 def permutation_null(a: list[str], b: list[str], iterations: int = 500, seed: str = DEFAULT_SEED, blocks: list[str] | None = None) -> dict:
@@ -115,31 +147,21 @@ def permutation_null(a: list[str], b: list[str], iterations: int = 500, seed: st
     """
     a_names, x = np.unique(a, return_inverse=True)
     b_names, y = np.unique(b, return_inverse=True)
-    expected = np.outer(np.bincount(x), np.bincount(y)) / len(x)
-    observed, rng, stats = _chi2(x, y, expected, len(b_names)), Mulberry(seed), []
     if blocks is None:
-        shuffled = y.tolist()
-        for _ in range(iterations):
-            rng.shuffle(shuffled)
-            stats.append(_chi2(x, np.asarray(shuffled), expected, len(b_names)))
-    else:
-        labels: dict[str, int] = {}
-        for block, label in zip(blocks, x.tolist(), strict=True):
-            if block is None or labels.setdefault(block, label) != label:
-                raise ValueError("every row needs a block, and a block has one label")
-        place = {block: i for i, block in enumerate(labels)}
-        at, shuffled = np.array([place[block] for block in blocks]), list(labels.values())
-        for _ in range(iterations):
-            rng.shuffle(shuffled)
-            moved = np.asarray(shuffled)[at]
-            margin = np.outer(np.bincount(moved, minlength=len(a_names)), np.bincount(y)) / len(x)
-            stats.append(_chi2(moved, y, np.where(margin > 0, margin, 1.0), len(b_names)) if (margin > 0).all() else _chi2_open(moved, y, margin))
-    stats.sort()
-    middle = len(stats) // 2
-    return {
-        "chi2": observed, "iterations": iterations, "median": stats[middle] if len(stats) % 2 else (stats[middle - 1] + stats[middle]) / 2,
-        "p95": stats[min(len(stats) - 1, math.floor(0.95 * len(stats)))], "most": stats[-1], "p": (sum(s >= observed - 1e-12 for s in stats) + 1) / (iterations + 1),
-    }
+        return _shuffled(_narrow(x, len(a_names)), _narrow(y, len(b_names)), iterations, seed)
+    observed, rng, stats = _chi2(x, y, np.outer(np.bincount(x), np.bincount(y)) / len(x)), Mulberry(seed), []
+    labels: dict[str, int] = {}
+    for block, label in zip(blocks, x.tolist(), strict=True):
+        if block is None or labels.setdefault(block, label) != label:
+            raise ValueError("every row needs a block, and a block has one label")
+    place = {block: i for i, block in enumerate(labels)}
+    at, shuffled = np.array([place[block] for block in blocks]), list(labels.values())
+    for _ in range(iterations):
+        rng.shuffle(shuffled)
+        moved = np.asarray(shuffled)[at]
+        margin = np.outer(np.bincount(moved, minlength=len(a_names)), np.bincount(y)) / len(x)
+        stats.append(_chi2(moved, y, margin) if (margin > 0).all() else _chi2_open(moved, y, margin))
+    return _spread(stats, observed)
 
 
 def _chi2_open(a: np.ndarray, b: np.ndarray, margin: np.ndarray) -> float:
@@ -148,20 +170,48 @@ def _chi2_open(a: np.ndarray, b: np.ndarray, margin: np.ndarray) -> float:
     return float(((table - margin)[some] ** 2 / margin[some]).sum())
 
 
-def permutation_control(df: DataFrame, columns: list[str], order: list[str], iterations: int = 500, seed: str = DEFAULT_SEED, most_rows: int = 100_000) -> DataFrame:
-    """(a, b, chi2, median, p95, most, p) per pair; one task shuffles one pair. The control needs a pair's rows together, so
-    larger inputs are refused rather than sampled."""
-    if df.count() > most_rows:
-        raise ValueError(f"a permutation control holds a pair's rows in one task: {most_rows} at most")
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("va"), F.col(b).cast("string").alias("vb")) for a, b in combinations(columns, 2)]
-    long = df.select(*order, F.inline(F.array(*pairs))).filter("va is not null and vb is not null")
+def permutation_control(df: DataFrame, columns: list[str], order: list[str], iterations: int = 500, seed: str = DEFAULT_SEED) -> DataFrame:
+    """(a, b, chi2, median, p95, most, p) per pair, of any number of rows; one task shuffles one pair.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        found = permutation_null(rows["va"].tolist(), rows["vb"].tolist(), iterations, seed)
-        return pd.DataFrame([{"a": rows["a"].iloc[0], "b": rows["b"].iloc[0], **{k: found[k] for k in ("chi2", "median", "p95", "most", "p")}}])
-
-    return long.groupBy("a", "b").applyInPandas(one, "a string, b string, chi2 double, median double, p95 double, most double, p double")
+    Rows are put in order and coded where they lie; a pair's task gets them as chunks of codes with the names that these stand for, so it
+    holds one byte per row and column where a column has up to 256 values.
+    """
+    pairs = list(combinations(columns, 2))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    rows = df.select(*order, *(F.col(c).cast("string").alias(f"__c{i}") for i, c in enumerate(columns))).repartitionByRange(*by).sortWithinPartitions(*by)
+    numbered = rows.select(F.spark_partition_id().alias("part"), *(f"__c{i}" for i in range(len(columns))))
+    places = list(combinations(range(len(columns)), 2))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, batch in enumerate(batches):
+            out = []
+            for (i, j), (a, b) in zip(places, pairs, strict=True):
+                x, y = batch.column(i + 1), batch.column(j + 1)
+                both = pc.and_(pc.is_valid(x), pc.is_valid(y))
+                found = [v.filter(both).dictionary_encode() for v in (x, y)]
+                if len(found[0]):
+                    codes = [v.indices.to_numpy(zero_copy_only=False) for v in found]
+                    codes = [c.astype(np.min_scalar_type(len(v.dictionary) - 1)).tobytes() for c, v in zip(codes, found, strict=True)]
+                    out.append((a, b, batch.column(0)[0].as_py(), at, found[0].dictionary.to_pylist(), codes[0], found[1].dictionary.to_pylist(), codes[1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CHUNK_TYPES, strict=True)], CHUNK_NAMES)
+
+    def joined(chunks: pd.DataFrame, names: str, codes: str) -> np.ndarray:
+        """The chunks' codes as places among all their names in order."""
+        every = sorted({v for found in chunks[names] for v in found})
+        place, kind = {v: i for i, v in enumerate(every)}, np.min_scalar_type(len(every) - 1)
+        parts = []
+        for found, raw in zip(chunks[names], chunks[codes], strict=True):
+            parts.append(np.array([place[v] for v in found], kind)[np.frombuffer(raw, np.min_scalar_type(len(found) - 1))])
+        return np.concatenate(parts)
+
+    def one(chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values(["part", "chunk"])
+        found = _shuffled(joined(chunks, "names_a", "codes_a"), joined(chunks, "names_b", "codes_b"), iterations, seed)
+        return pd.DataFrame([{"a": chunks["a"].iloc[0], "b": chunks["b"].iloc[0], **{k: found[k] for k in ("chi2", "median", "p95", "most", "p")}}])
+
+    chunks = numbered.mapInArrow(code, "a string, b string, part int, chunk int, names_a array<string>, codes_a binary, names_b array<string>, codes_b binary")
+    return chunks.groupBy("a", "b").applyInPandas(one, "a string, b string, chi2 double, median double, p95 double, most double, p double")
 
 
 def association_rules(items: DataFrame, least: int = 20, most: int = 3) -> DataFrame:

@@ -1,13 +1,14 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from quern.functions.proportion import chi2_p, detectable_reduction, normal_quantile, power_verdict, required_units
 from quern.functions.rng import Mulberry, seed_of
-from quern.operators.association import benjamini_hochberg, permutation_null
 from quern.operators import sampling
+from quern.operators.association import benjamini_hochberg, permutation_control, permutation_null
 from quern.operators.sampling import allocate, diverse_sample, fit_to_budget, random_sample, stratified_sample
 from quern.operators.series import cusum_statistic, pettitt_statistic
 from quern.operators.terms import agglomerate, collapse_near_duplicates, components, cut_tree, minhash_signature, silhouette, sweep_threshold
@@ -94,6 +95,40 @@ def test_samples_are_seeded(spark):
     assert len(diverse_sample(df, "id", ["s", "t"], 50).collect()) == 7
 
 
+def test_arrays_shuffle_as_lists_do():
+    for n in (0, 1, 2, 2001, 2002, 40_000, 200_001):
+        one, other = Mulberry("x"), Mulberry("x")
+        array, values = np.arange(n) % 251, [i % 251 for i in range(n)]
+        for _ in range(2):
+            one.shuffle_array(array)
+            other.shuffle(values)
+        assert array.tolist() == values and one.state == other.state
+
+
+def test_permutation_control_has_no_limit_of_rows(spark):
+    """More rows than the 100,000 that were the limit, out of order, over several partitions and Arrow batches, with nulls."""
+    df = spark.range(0, 103_000, 1, 3).selectExpr("id * 7919 % 103001 as at", "nullif(concat('v', id % 5), 'v4') as x", "case when id % 9 > 0 then (id * id) % 3 = 1 end as y", "'one' as z")
+    found = {(r.a, r.b): r for r in permutation_control(df, ["x", "y", "z"], ["at"], iterations=3, seed="s").collect()}
+    rows = df.toPandas().sort_values("at")
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        both = rows[rows[a].notna() & rows[b].notna()]
+        x, y = both[a].astype(str).tolist(), both[b].astype(str).tolist()
+        expected, rng, stats = Counter(), Mulberry("s"), []
+        for v, n in Counter(x).items():
+            for w, m in Counter(y).items():
+                expected[v, w] = n * m / len(x)
+        chi2 = lambda: sum((table[k] - e) ** 2 / e for k, e in expected.items())  # noqa: B023, E731
+        table = Counter(zip(x, y, strict=True))
+        observed = chi2()
+        for _ in range(3):
+            rng.shuffle(y)
+            table = Counter(zip(x, y, strict=True))
+            stats.append(chi2())
+        got = found[a, b]
+        assert (got.chi2, got.median, got.p95, got.most) == pytest.approx((observed, sorted(stats)[1], max(stats), max(stats)), abs=1e-9)
+        assert got.p == (sum(s >= observed - 1e-12 for s in stats) + 1) / 4
+
+
 def drawn_by_hand(df, key, size, seed, stratum=None):
     by = {}
     for r in df.select(key, *([stratum] if stratum else [])).orderBy(key).collect():
