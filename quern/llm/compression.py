@@ -4,7 +4,7 @@ Zstandard shrinks repetitive text far more than prose and encoded or random text
 document and each fixed chunk of it must have a compressed-to-raw ratio inside the band for its length: short
 inputs carry little context, so their bands are wider. What remains behind the last full chunk is a chunk too, with
 the band for its length. A document outside its band, or with more than a stated share of its bytes or a stated run
-of bytes in chunks outside theirs, is rejected. One pass, no shuffle.
+of bytes in chunks outside theirs, is rejected. One pass over the texts, none of which is shuffled.
 
 Fixed bands part text from what is not text. Where labels of quality are at hand, limits of whole documents are learnt within them for
 each half octave of length: next to the extreme ratios of good documents that the base rules keep.
@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, map_rows
+from quern.llm.common import as_bytes, cut, map_rows
 
 
 class Band(NamedTuple):
@@ -57,8 +57,8 @@ BAD_RUN = 2 * CHUNK_BYTES
 #: A remainder of at most so many bytes says nothing by itself and belongs to the chunk before it.
 LEAST_REMAINDER = 64
 LEVEL = 3
-#: Good documents at most that limits are learnt from: those with the smallest hashes of their ids.
-MOST_LABELLED = 20_000
+#: Ratios are counted to so many digits while limits are learnt, so that a half octave's counts have a bounded size.
+DIGITS = 5
 #: Good documents that a half octave of length needs for limits of its own; with fewer the fixed band holds.
 LEAST_GOOD = 100
 #: Share of the good documents on each side that may be extreme by accident, and how far beyond it a limit lies.
@@ -110,9 +110,8 @@ class CompressionJudge:
 
     def __init__(
         self, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_band: tuple[float, float] = CHUNK_BAND,
-        most_bad: float = MOST_BAD, bad_run: int = BAD_RUN, learnt: dict[int, tuple[float, float]] | None = None,
+        most_bad: float = MOST_BAD, bad_run: int = BAD_RUN,
     ):
-        self.learnt = learnt or {}
         self.bands, self.chunk_bytes, self.chunk_band, self.most_bad, self.bad_run = bands, chunk_bytes, chunk_band, most_bad, bad_run
         self._zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
@@ -122,11 +121,6 @@ class CompressionJudge:
     def band(self, size: int) -> tuple[float, float]:
         return next((b.low, b.high) for b in self.bands if size <= b.most_bytes)
 
-    def limits(self, size: int) -> tuple[float, float]:
-        """A whole text's limits: the learnt ones, inside the fixed band."""
-        (low, high), (least, most) = self.band(size), self.learnt.get(length_step(size), (0.0, float("inf")))
-        return max(low, least), min(high, most)
-
     def cuts(self, size: int) -> list[int]:
         """Where the chunks of a text begin, and its end."""
         starts = list(range(0, size, self.chunk_bytes))
@@ -139,7 +133,7 @@ class CompressionJudge:
         if not text:
             return None, 0, 0, False
         ratio = self.ratio(text)
-        low, high = self.limits(len(text))
+        low, high = self.band(len(text))
         cuts = self.cuts(len(text))
         bad = bad_bytes = run = longest = 0
         for at, end in pairwise(cuts):
@@ -154,16 +148,21 @@ class CompressionJudge:
         return ratio, len(cuts) - 1, bad, not low <= ratio <= high or bad_bytes > self.most_bad * len(text) or longest >= self.bad_run
 
 
-def learn_limits(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, **limits) -> dict[int, tuple[float, float]]:
-    """Least and greatest ratio for each half octave of length, from documents that every label row calls good (quality 1).
+def learn_limits(docs: DataFrame, labels: DataFrame, **limits) -> dict[int, tuple[float, float]]:
+    """Least and greatest ratio for each half octave of length, from all documents that every label row calls good (quality 1).
 
     Documents that the base rules or the fixed bands reject teach nothing. A doc_id teaches once, by its least text's figures.
     """
+    return limits_of(measure(docs, **limits), labels)
+
+
+def limits_of(measured: DataFrame, labels: DataFrame) -> dict[int, tuple[float, float]]:
+    """``learn_limits`` from what ``measure`` found: no text is moved."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("least"))
-    good = told.filter("least = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-    seen = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id"), **limits).filter("kept")  # at most ``most`` ids
-    once = seen.groupBy("doc_id").agg(F.min(F.struct("length_step", "ratio")).alias("x")).select("x.*")
-    tails = once.groupBy("length_step").agg(F.percentile("ratio", [TAIL, 1 - TAIL]).alias("tails"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_GOOD)
+    seen = measured.filter("kept").select("doc_id", "length_step", "ratio").join(told.filter("least = 1").select("doc_id"), "doc_id")
+    once = seen.groupBy("doc_id").agg(F.min(F.struct("length_step", "ratio")).alias("x")).select("x.length_step", F.round("x.ratio", DIGITS).alias("ratio"))
+    counted = once.groupBy("length_step", "ratio").agg(F.count("*").alias("n"))
+    tails = counted.groupBy("length_step").agg(F.percentile("ratio", [TAIL, 1 - TAIL], F.col("n")).alias("tails"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_GOOD)
     return {r["length_step"]: (r["tails"][0] * (1 - MARGIN), r["tails"][1] * (1 + MARGIN)) for r in tails.collect()}  # two for each octave of lengths
 
 
@@ -174,10 +173,24 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, **limits) -> DataFra
     Null or empty text: no words, so ``base_failed`` and not kept; its ratio is null. Null doc_id is carried through.
     Repeated rows are judged each by itself; other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    learnt = learn_limits(docs, labels, **limits) if labels is not None else {}
+    measured = measure(docs, **limits)
+    if labels is None:
+        return measured
+    # texts are read once: what was measured is kept, and the learnt limits are laid over it
+    measured = cut(measured, "quality")
+    rows = [(step, low, high) for step, (low, high) in limits_of(measured, labels).items()]
+    learnt = docs.sparkSession.createDataFrame(rows, "length_step long, __low double, __high double")  # two for each octave of lengths
+    judged = measured.join(F.broadcast(learnt), "length_step", "left")
+    outside = F.coalesce(~F.col("ratio").between(F.col("__low"), F.col("__high")), F.lit(False))
+    judged = judged.withColumn("compression_failed", F.col("compression_failed") | outside).withColumn("kept", F.col("kept") & ~outside)
+    return judged.select(measured.columns)
+
+
+def measure(docs: DataFrame, **limits) -> DataFrame:
+    """What ``judge`` returns by the fixed bands, in one pass."""
 
     def make():
-        compression = CompressionJudge(**limits, learnt=learnt)
+        compression = CompressionJudge(**limits)
 
         def one(doc_id: int | None, text: bytes) -> tuple:
             words = text.split()

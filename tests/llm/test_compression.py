@@ -148,6 +148,15 @@ def test_a_document_teaches_once(spark):
     assert once and learn_limits(repeated, labels.union(labels)) == once
 
 
+def test_every_labelled_document_teaches(spark):
+    """30,000 good documents, more than the 20,000 that were the most: their count in a half octave decides whether it has limits."""
+    text, rare = varied_prose(1000).decode(), varied_prose(3000).decode()
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    docs = docs.union(spark.range(30_000, 30_110).select("id", F.lit(rare)))
+    limits = learn_limits(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert set(limits) == {length_step(len(text)), length_step(len(rare))}
+
+
 def test_base_columns_equal_brute_force(edge_docs):
     space = re.compile(r"[^\x20\x09-\x0D]+")
     for r, got in zip(edge_docs.collect(), judge(edge_docs).collect(), strict=True):
