@@ -14,6 +14,7 @@ A chain is fitted on at most ``MOST_LABELLED`` labelled rows (the smallest hashe
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -166,12 +167,23 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...]
     # ids alone tell whether rows repeat one; unrepeated texts stay where they lie
     if texts.groupBy("doc_id").count().filter("count > 1").head(1):
         texts = texts.groupBy("doc_id", *columns).agg(F.max("text").alias("text"))
-    found = features(texts, ["doc_id", *columns]).toArrow().combine_chunks()
+    # fitted by one task: the features of all its rows take more memory than a driver should give
+    fitted = features(texts, ["doc_id", *columns]).repartition(1).mapInArrow(lambda batches: fit_batches(batches, chain), "models binary").head()
+    return [Model(*m) for m in pickle.loads(fitted["models"])] if fitted else fit_chain(Rows([], []), np.empty((0, len(chain)), int), np.empty(0, int))
+
+
+def fit_batches(batches: Iterator[pa.RecordBatch], chain: tuple[tuple[str, int], ...]) -> Iterator[pa.RecordBatch]:
+    """The chain's models, pickled as one row, from the rows of ``features`` in the order of their ids; nothing from no rows."""
+    some = list(batches)
+    if not sum(b.num_rows for b in some):
+        return
+    found = pa.Table.from_batches(some).combine_chunks()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    bins, counts = ([x[i].values.to_numpy() for i in order] for x in (found["bins"].combine_chunks(), found["counts"].combine_chunks())) if found.num_rows else ([], [])
+    bins, counts = ([x[i].values.to_numpy() for i in order] for x in (found["bins"].combine_chunks(), found["counts"].combine_chunks()))
     y = np.column_stack([(found[c].to_numpy()[order] == value).astype(int) for c, value in chain])
     folds = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in found["doc_id"].to_numpy()[order]])
-    return fit_chain(Rows(bins, counts), y, folds)
+    models = [tuple(m) for m in fit_chain(Rows(bins, counts), y, folds)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(models)], pa.binary())], ["models"])
 
 
 def scorer(models: list[tuple]) -> Callable[[bytes], list[float]]:

@@ -86,3 +86,13 @@ def test_repeated_rows_are_learnt_from_once(spark):
     once, again = train(docs, seen), train(repeated, seen.union(seen))
     for a, b in zip(once, again, strict=True):
         assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_features_of_the_labelled_rows_do_not_come_to_the_driver(spark, monkeypatch):
+    def refuse(self):
+        raise AssertionError("features were collected")
+
+    docs = spark.createDataFrame([(i, ("vile slur " if i % 2 else "calm sea ") + f"w{i}") for i in range(80)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(1 as int) as quality", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    assert {r.doc_id for r in judge(docs, labels).filter("toxic").collect()} == set(range(1, 80, 2))
