@@ -3,6 +3,8 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,28 @@ def test_documents_of_common_words_do_not_move_a_row_per_document_and_term(spark
     found = {(r.a, r.b): r.cosine for r in QUERIES["t16_cosine_pairs_documents"](spark, str(tmp_path)).collect()}
     assert found == pytest.approx(brute_force(rows, lambda i: i % 50 == 0), abs=2e-6)
     assert sum(n for k, n in moved(spark).items() if k not in before) < 400 * 20
+
+
+def written(spark):
+    """Bytes written to shuffles so far, by stage, and bytes in the checkpoint folder."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    folder = Path(urlparse(sc._jsc.sc().getCheckpointDir().get()).path)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}, sum(p.stat().st_size for p in folder.rglob("part-*"))
+
+
+def test_words_of_one_document_alone_take_little_disk(spark, tmp_path):
+    draw = random.Random("d")
+    rows = [(i, " ".join(f"{draw.randrange(10**8)}" if k % 2 else f"common{draw.randrange(3000)}" for k in range(200))) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cosine.cosine_pairs(frame.limit(5), F.expr("doc_id % 50 = 0"), "doc_id").count()  # sets the checkpoint folder
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    shuffled, kept = written(spark)
+    found = QUERIES["t16_cosine_pairs_documents"](spark, str(tmp_path))
+    now, all_kept = written(spark)
+    disk = sum(n for k, n in now.items() if k not in shuffled) + all_kept - kept
+    size = sum(len(t) for _, t in rows)
+    assert disk < 1.6 * size
+    assert {(r.a, r.b): r.cosine for r in found.collect()} == pytest.approx(brute_force(rows, lambda i: i % 50 == 0), abs=2e-6)
